@@ -184,7 +184,7 @@ class Scorer:
         self.scores = np.zeros((CACHE, len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.place.keys()
+        new = {w for w in words if w not in self.place}
         if len(self.place) + len(new) > len(self.scores):
             self.place.clear()
             new = words
