@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.llm import decontaminate, langid, simhash, toxicity
+from mailquarry.llm import decontaminate, langid, sharding, simhash, syncmers, toxicity
 from mailquarry.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op6_simhash, op8_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op3_toxicity, op4_syncmers, op6_simhash, op7_sharding, op8_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
