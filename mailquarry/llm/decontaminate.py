@@ -16,13 +16,11 @@ from mailquarry.llm.common import batches_of, small_batches, utf8
 WINDOW = 10
 #: Benchmark text of one automaton in bytes; larger benchmarks are scanned by several automata in a row.
 AUTOMATON_BYTES = 8_000_000
-#: Items that are fetched to the driver at once while automata are built.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A-Z to a-z, word bytes to themselves, all else to a space
 _NORMAL = bytes(b if _WORD.match(bytes([b])) else 32 for b in _LOWER)
-SPANS = "array<struct<first:int,last:int>>"
-RESULT = f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -141,6 +139,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = AUTOM
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_scanner(machines), RESULT)
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """docs without the rows that hold a window of a benchmark item; texts are scanned in place, without a shuffle."""
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    machines = [context.broadcast(c) for c in item_chunks(benchmark, most_bytes)]
+    at = docs.columns.index("text")
+
+    def kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built: dict[int, WindowAutomaton] = {}
+        for batch in batches_of(source):
+            hit = [False] * batch.num_rows
+            split = [words_of(t) for t in utf8(batch.column(at))]
+            for k, items in enumerate(machines):
+                if k not in built:
+                    built.clear()
+                    built[k] = WindowAutomaton(items.value)
+                hit = [h or bool(built[k].scan(words)[0]) for h, words in zip(hit, split)]
+            yield batch.filter(pa.array([not h for h in hit]))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 #: The same by windows as strings: every start of a window of each length that items have, joined to the documents' runs.
 ORACLE_SQL = r"""
 with dw as (select doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

@@ -38,7 +38,7 @@ def numbered(df: DataFrame, key: str, name: str, ties: list[Column]) -> tuple[Da
     return out.drop("_bucket", "_first", "_rank"), n
 
 
-def bounds_of(df: DataFrame, order: str, n: int, rows: int = BUCKET_ROWS, most: int = 4096) -> list[int]:
+def bounds_of(df: DataFrame, order: str, n: int, rows: int = 1000, most: int = 16_384) -> list[int]:
     """Values of an integer column that cut it into ranges of about `rows` rows (approximate quantiles, bounded list)."""
     parts = min(max(n // rows, 1), most)
     if parts < 2:

@@ -193,3 +193,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     least = named.groupBy("label").agg(F.min("low").alias("component_id"))
     owner = named.join(least, "label").select("fp", "component_id")
     return of_doc.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (one of its rows if it is repeated).
+
+    Rows without doc_id belong to no component and stay.
+    """
+    named = near_duplicates(docs.where("doc_id is not null"), bucket=bucket)
+    heads = named.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
+    kept = docs.join(heads, docs["doc_id"].cast("long") == heads["_head"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
