@@ -1,4 +1,4 @@
-"""Registry of the archive queries and their SQL."""
+"""Registry of the archive queries and of the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailquarry.plans import events, orders, texts
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """All facets of the order archive."""
+    return orders.facet_all(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**orders.QUERIES, **events.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**orders.SQL, **events.SQL, **texts.SQL}
