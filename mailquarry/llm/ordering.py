@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that a bucket should have, and the largest number of buckets.
-BUCKET_ROWS, MOST_BUCKETS = 10_000, 65_536
+BUCKET_ROWS, MOST_BUCKETS = 1000, 65_536
 
 
 def bucket_bits(n: int, rows: int = BUCKET_ROWS) -> int:
