@@ -33,7 +33,7 @@ def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     one after the other, prompt and a completion are the training text.
 
     Returns pair_id, segment, turn, role, rendered, start (code points before it in its segment), loss_start, loss_end:
-    the part of `rendered` that is trained on (text and end marker of assistant turns of completions; else both null).
+    the part of `rendered` that is trained on (text and end marker of assistant turns of completions; else empty: 0, 0).
     Turns without a number stand last, as one; null roles and texts are empty; repeated turns stay repeated (ordered by
     role and text). A side that is missing or empty leaves the prompt empty. Rows without conv_id are in no pair. Other
     columns are not read.
@@ -54,7 +54,7 @@ def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     placed = sized.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before, ["pair_id", "segment", "_chunk"])
     trained = (F.col("segment") != "prompt") & (F.col("role") == "assistant")
     head = F.length(F.lit(OPEN)) + F.length("role") + 1
-    return placed.select("pair_id", "segment", F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "rendered", (F.col("_before") + F.col("_inside")).alias("start"), F.when(trained, head).cast("long").alias("loss_start"), F.when(trained, F.col("_n") - 1).alias("loss_end"))
+    return placed.select("pair_id", "segment", F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "rendered", (F.col("_before") + F.col("_inside")).alias("start"), F.when(trained, head).otherwise(0).cast("long").alias("loss_start"), F.when(trained, F.col("_n") - 1).otherwise(0).alias("loss_end"))
 
 
 ORACLE_SQL = r"""
@@ -65,6 +65,6 @@ s as (select t.pair_id, turn, role, text, case when turn < coalesce(fork, 922337
       from t left join f using (pair_id) where turn >= coalesce(fork, 9223372036854775807) or side = 'chosen'),
 p as (select *, coalesce(sum(length(rendered)) over (partition by pair_id, segment order by turn, role, text rows between unbounded preceding and 1 preceding), 0) as start from s)
 select pair_id, segment, nullif(turn, 4611686018427387904) as turn, role, rendered, start::bigint as start,
-  case when segment <> 'prompt' and role = 'assistant' then 12 + length(role) + 1 end::bigint as loss_start,
-  case when segment <> 'prompt' and role = 'assistant' then length(rendered) - 1 end::bigint as loss_end from p
+  case when segment <> 'prompt' and role = 'assistant' then 12 + length(role) + 1 else 0 end::bigint as loss_start,
+  case when segment <> 'prompt' and role = 'assistant' then length(rendered) - 1 else 0 end::bigint as loss_end from p
 """

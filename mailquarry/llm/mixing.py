@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import cut, fresh
+from mailquarry.llm.common import cut
 from mailquarry.llm.ordering import bucket_bits, hash_bucket
 
 SEED = 20_240_229
@@ -74,9 +74,9 @@ def exponent_for(shares: DataFrame, entropy: float | None, repeats: float | None
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """docs with _name (source as text, null apart), _tokens and _hash (place in the source's permutation)."""
+    """The rows of docs as `row`, with _name (source as text, null apart), _tokens and _hash (place in the permutation)."""
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    return docs.withColumns({"_name": name, "_tokens": n_tokens(F.col("text")), "_hash": F.xxhash64(F.lit(SEED), "doc_id", "text")})
+    return docs.select(F.struct("*").alias("row"), name.alias("_name"), n_tokens(F.col("text")).alias("_tokens"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_hash"))
 
 
 def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = ENTROPY, repeats: float | None = MOST_REPEATS) -> tuple[Mix, DataFrame]:
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = EN
 
     Running sums are formed in two steps, hash buckets first, so that a source of any size spreads over many tasks.
     """
-    rows = cut(_read(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_name", "_tokens", "_hash"))
+    rows = cut(_read(docs).select(F.col("row.doc_id").cast("long").alias("doc_id"), "_name", "_tokens", "_hash"))
     totals = cut(rows.groupBy("_name").agg(F.count("*").alias("n_rows"), F.sum("_tokens").alias("n_tokens")))
     whole = totals.agg(F.sum("n_tokens"), F.count_if(F.col("n_tokens") > 0), F.sum("n_rows")).first()
     if not whole[0]:
@@ -150,9 +150,8 @@ def plan(docs: DataFrame, blocks: int = BLOCKS, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it. Texts stay where they are: a row's hash and its source's cut decide."""
     mixed, _ = mix(docs, **how)
-    name = fresh(docs, "_times")
     sources = mixed.sources.select("_name", "passes", "cut", "open")
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)  # then a large source stays spread as it lies
-    kept = _read(docs).join(sources, "_name").withColumn(name, _times())
-    return kept.withColumn(name, F.explode(F.expr(f"case when {name} > 0 then sequence(1L, {name}) else cast(array() as array<bigint>) end"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _read(docs).join(sources, "_name").withColumn("_n", _times()).where("_n > 0")
+    return kept.withColumn("_n", F.explode(F.expr("sequence(1L, _n)"))).select("row.*")

@@ -32,10 +32,10 @@ def numbered(df: DataFrame, key: str, name: str, ties: list[Column]) -> tuple[Da
     for r in sorted(sizes, key=lambda r: r["_bucket"]):
         first.append((r["_bucket"], at))
         at += r["count"]
-    starts = df.sparkSession.createDataFrame(first or [(0, 0)], "_bucket long, _first long")
+    starts = df.sparkSession.createDataFrame(first or [(0, 0)], "_bucket long, _start long")
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(F.col(key), *ties)) - 1
-    out = with_bucket.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_first") + F.col("_rank"))
-    return out.drop("_bucket", "_first", "_rank"), n
+    out = with_bucket.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_rank"))
+    return out.drop("_bucket", "_start", "_rank"), n
 
 
 def bounds_of(df: DataFrame, order: str, n: int, rows: int = 1000, most: int = 16_384) -> list[int]:

@@ -221,15 +221,17 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     from 0. An existing column pii is replaced. The key stays with the caller; anyone who has it can invert the
     permutation.
     """
-    text = F.coalesce(F.col(column), F.lit(""))
-    spans = docs.withColumn("_spans", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(column), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    spans = packed.withColumn("_spans", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>")))
     found = F.size("_spans") > 0
     gaps = spans.withColumn("_gaps", F.when(found, F.split(text, ANY, -1)))
     kinds = gaps.withColumn("_kinds", F.transform("_spans", kind_of))
     new = kinds.withColumn("_new", F.transform(F.arrays_zip("_spans", "_kinds"), lambda s: pseudonym(s["_spans"], s["_kinds"], key)))
     joined = F.concat(F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_spans")), "_new", lambda g, n: F.concat(g, n)), ""), F.element_at("_gaps", -1))
     lengths = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_spans")), "_spans", lambda g, s: F.length(g) + F.length(s))
-    starts = F.transform("_spans", lambda s, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) - F.length(s))
+    starts = F.transform("_spans", lambda s, i: F.aggregate(F.slice("_lengths", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) - F.length(s))
     listed = F.filter(F.zip_with(F.arrays_zip(F.col("_kinds").alias("k"), F.col("_new").alias("n"), F.col("_spans").alias("s")), starts, lambda x, at: F.struct(x["k"].alias("kind"), at.alias("start"), F.sha2(x["s"], 256).alias("original_sha"), x["n"].alias("pseudonym"))), lambda x: x["kind"].isNotNull())
-    out = new.withColumn("pii", F.when(found, listed).otherwise(F.array().cast("array<struct<kind:string,start:int,original_sha:string,pseudonym:string>>")))
-    return out.withColumn(column, F.when(found, joined).otherwise(F.col(column))).drop("_spans", "_gaps", "_kinds", "_new")
+    out = new.withColumn("_lengths", F.when(found, lengths))
+    kept = [F.when(found, joined).otherwise(F.col("row")[c]).alias(c) if c == column else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "pii"]
+    return out.select(*kept, F.when(found, listed).otherwise(F.array().cast("array<struct<kind:string,start:int,original_sha:string,pseudonym:string>>")).alias("pii"))

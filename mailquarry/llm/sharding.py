@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.common import cut, fresh
@@ -50,7 +50,7 @@ def _place(n: int, key: int):
     return place
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, key: int = KEY, content: list[str] | None = None, ties: list[Column] | None = None) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, key: int = KEY, content: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """docs with `shard` and `slot`: row counts of shards differ by one at most, slots of a shard are 0, 1, 2 ... .
 
     Rows are numbered in the order of a hash of their content (default doc_id and text, as columns are named), so numbers
@@ -61,15 +61,15 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: int = KEY, content: list
     """
     content = content or [c for c in ("doc_id", "text") if c in docs.columns]
     shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
-    hashed = docs.withColumn("_hash", F.xxhash64(*content))
-    rows, n = numbered(hashed, "_hash", "_row", ties or [F.col(content[0])])
+    packed = docs.select(F.struct("*").alias("row"), F.xxhash64(*content).alias("_hash"), F.col(content[0]).alias("_first"))
+    rows, n = numbered(packed, "_hash", "_row", [F.col("_first"), *(F.col(f"row.{t}") for t in ties or [])])
     placed = rows.withColumn("_place", _place(n, key)("_row"))
-    return placed.withColumn(shard, (F.col("_place") % shards).cast("int")).withColumn(slot, F.floor(F.col("_place") / shards).cast("long")).drop("_hash", "_row", "_place")
+    return placed.select("row.*", (F.col("_place") % shards).cast("int").alias(shard), F.floor(F.col("_place") / shards).cast("long").alias(slot))
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law (`rows`), shard, slot, grown_shard of every row; texts are not shuffled."""
     text = F.coalesce(F.encode("text", "UTF-8"), F.encode(F.lit(""), "UTF-8"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("_text"))
-    out = sharded(cut(narrow), shards, content=["doc_id", "_text"], ties=[F.col("doc_id"), F.col("size"), F.col("text_crc32")])
+    out = sharded(cut(narrow), shards, content=["doc_id", "_text"], ties=["size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
