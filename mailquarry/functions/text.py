@@ -109,7 +109,7 @@ def normalize_newlines(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines; each line trimmed and ended by a newline."""
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
-    return F.transform(blocks, lambda p: F.concat(F.array_join(F.transform(words(p, "\n"), F.trim), "\n"), F.lit("\n")))
+    return F.transform(blocks, lambda p: F.concat(F.array_join(F.transform(words(p, "\n"), lambda x: F.trim(x)), "\n"), F.lit("\n")))
 
 
 def original_content(text: Column) -> Column:
@@ -214,3 +214,8 @@ def redacted(text: Column, names: Column) -> Column:
 def signature(*parts: Column) -> Column:
     """SHA-256 of the parts of a message that identify it."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def array_text(values: Column, mark: str = "|") -> Column:
+    """An array of texts as one text."""
+    return F.array_join(values, mark)
