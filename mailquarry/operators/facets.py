@@ -116,3 +116,24 @@ def entropy(counts: DataFrame, group: list[str], n: str) -> DataFrame:
 
 def min_frequency(percent: float, n_docs: int) -> int:
     return int(min(max(percent * n_docs / 100, 2), 5))
+
+
+def top_of_map(counts: DataFrame, column: str, k: int, order: str) -> DataFrame:
+    """The k largest counts, ties in the given order."""
+    return counts.orderBy(F.desc(column), order).limit(k)
+
+
+def spread(counts: DataFrame, column: str) -> DataFrame:
+    return counts.agg(F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_pop(column), 6).alias("deviation"))
+
+
+def attachment_counts(attachments: DataFrame) -> DataFrame:
+    """All attachments, images and documents, by extension."""
+    from mailquarry.functions.text import DOCUMENT_EXTENSIONS, IMAGE_EXTENSIONS
+
+    return attachments.agg(F.count("*").alias("n_all"), F.count_if(F.lower("ext").isin(IMAGE_EXTENSIONS)).alias("n_images"), F.count_if(F.lower("ext").isin(DOCUMENT_EXTENSIONS)).alias("n_documents"))
+
+
+def median_of_counts(rows: DataFrame, column: str) -> DataFrame:
+    """The first value at which the cumulative count passes half of all."""
+    return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {column})").cast("long").alias("median"))

@@ -105,6 +105,58 @@ def statistics(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.max(F.size("members")).alias("largest"), F.min(F.size("members")).alias("smallest"), F.round(F.avg(F.size("members")), 6).alias("mean_size")).crossJoin(F.broadcast(people))
 
 
+def similar_pairs(groups: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard), a < b: groups of a Jaccard likeness of at least `least`, by an equi-join on members.
+
+    Sizes that cannot reach it are left out before the join is counted.
+    """
+    flat = groups.select("group_id", F.size("members").alias("k"), F.explode("members").alias("contact"))
+    a, b = flat.withColumnsRenamed({"group_id": "a", "k": "ka"}), flat.withColumnsRenamed({"group_id": "b", "k": "kb"})
+    close = a.join(b, "contact").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= least * F.greatest("ka", "kb")))
+    shared = close.groupBy("a", "b", "ka", "kb").agg(F.count("*").alias("c"))
+    return shared.withColumn("jaccard", F.col("c") / (F.col("ka") + F.col("kb") - F.col("c"))).where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def without_subsets(groups: DataFrame) -> DataFrame:
+    return groups.join(containments(groups).select(F.col("small").alias("group_id")), "group_id", "left_anti")
+
+
+def named(groups: DataFrame, volumes: DataFrame, names: DataFrame) -> DataFrame:
+    """(group_id, label): the most prolific member, and how many more there are. volumes: contact, volume."""
+    best = F.max(F.struct("volume", "contact"))
+    top = groups.select("group_id", F.size("members").alias("k"), F.explode("members").alias("contact")).join(volumes, "contact").groupBy("group_id", "k").agg(best.alias("m"))
+    label = F.when(F.col("k") > 1, F.concat("name", F.lit("+"), (F.col("k") - 1).cast("string"))).otherwise(F.col("name"))
+    return top.select("group_id", "k", F.col("m.contact").alias("contact")).join(names.select("contact", "name"), "contact").select("group_id", label.alias("label"))
+
+
+def by_group(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, n_docs) of the closest groups, and of messages without any (null)."""
+    own = closest_group(found, groups)
+    return found.select("doc_id").join(own, "doc_id", "left").groupBy("group_id").agg(F.count("*").alias("n_docs"))
+
+
+def supergroups(groups: list[tuple[str, ...]], least: float = 0.35, overlap: int = 3) -> list[tuple[str, ...]]:
+    """Unites the two most alike groups until none are alike enough or share enough people. For a bounded list of groups."""
+    now = sorted({tuple(sorted(set(g))) for g in groups})
+    while True:
+        rated = [(len(set(a) & set(b)) / len(set(a) | set(b)), len(set(a) & set(b)), a, b) for i, a in enumerate(now) for b in now[i + 1 :]]
+        good = [r for r in rated if r[0] >= least or r[1] >= overlap]
+        if not good:
+            return now
+        _, _, a, b = max(good, key=lambda r: (r[0], r[1], tuple(r[2]), tuple(r[3])))
+        now = sorted({g for g in now if g not in (a, b)} | {tuple(sorted({*a, *b}))})
+
+
+def likeness_order(groups: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Groups in depth-first order, the most alike unvisited group next. For a bounded list of groups."""
+    todo, out = sorted(groups), []
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    while todo:
+        now = todo.pop(0) if not out or max(like(out[-1], g) for g in todo) == 0 else todo.pop(max(range(len(todo)), key=lambda i: (like(out[-1], todo[i]), -i)))
+        out.append(now)
+    return out
+
+
 def greedy(groups: list[tuple[tuple[str, ...], float]], n: int, error: float = 0.4, affinity: dict[tuple[str, str], float] | None = None) -> list[tuple[tuple[str, ...], float]]:
     """Reduces weighted groups to n by the cheapest moves: unite two, keep what two share, or drop one.
 

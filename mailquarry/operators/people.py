@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailquarry.functions import text as T
+from mailquarry.operators.lineage import cut
 
 SUPER_DEFINITE, DEFINITE, MAYBE, DEFINITE_NOT, USER_ASSIGNED = 8, 1, 2, 4, 16
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a loop in the shared checkpoint folder of the cluster (a temporary one only if none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, label) of an edge table (a, b): label is the least node of its component.
 
     Labels move over edges and then jump to the label of the label, so rounds grow with the logarithm of the diameter in
     practice. Minima are pre-aggregated; each round is written to the checkpoint folder.
     """
-    both = _cut(edges.where("a is not null and b is not null").select("a", "b").union(edges.where("a is not null and b is not null").select("b", "a")).distinct())
-    labels = _cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(edges.where("a is not null and b is not null").select("a", "b").union(edges.where("a is not null and b is not null").select("b", "a")).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
         roots = moved.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        jumped = _cut(moved.join(roots, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), "old"))
+        jumped = cut(moved.join(roots, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("label"), "old"))
         changed = jumped.where("label <> old").limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:
@@ -136,3 +127,43 @@ def first_seen_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Dense ids from 1 in the order in which keys are first seen. Only the distinct keys pass the ordering window."""
     first = rows.groupBy(key).agg(F.min(order).alias("first"))
     return first.select(key, F.row_number().over(Window.orderBy("first", key)).alias("id"))
+
+
+def own_addresses(addrs: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Addresses of oneself, and of all others."""
+    own = contacts.where("is_self").select("contact")
+    return addrs.join(own, "contact", "left_semi"), addrs.join(own, "contact", "left_anti")
+
+
+def all_addresses_of(emails: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Every address of the contacts that given addresses belong to. contacts: contact, email (one row for each address)."""
+    hit = contacts.join(emails.select(F.lower("email").alias("email")), "email", "left_semi").select("contact").distinct()
+    return contacts.join(hit, "contact").select("email").distinct()
+
+
+def reachable_people(addrs: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Contacts that are on no message without oneself: the people, not the lists."""
+    own = addrs.join(contacts.where("is_self").select("contact"), "contact", "left_semi").select("doc_id").distinct()
+    foreign = addrs.join(own, "doc_id", "left_anti").select("contact").distinct()
+    return addrs.select("contact").distinct().join(foreign, "contact", "left_anti")
+
+
+def expanded_names(short: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(doc_id, name, full, score): the nearest longer name that a short one stands for.
+
+    candidates: name, doc_id, thread, correspondent. On the same message a match scores 1.0, in the thread 0.9, with the
+    same correspondent 0.8, anywhere 0.7; ties go to the first in the alphabet. short: doc_id, name, thread, correspondent.
+    The join is on the words of the names.
+    """
+    long = candidates.where(F.col("name").contains(" ")).select(F.col("name").alias("full"), F.col("doc_id").alias("d"), F.col("thread").alias("t"), F.col("correspondent").alias("c"), F.explode(F.split(F.lower("name"), " ")).alias("word"))
+    score = F.when(F.col("doc_id") == F.col("d"), 1.0).when(F.col("thread") == F.col("t"), 0.9).when(F.col("correspondent") == F.col("c"), 0.8).otherwise(0.7)
+    best = F.min(F.struct((-score).alias("s"), F.col("full").alias("full")))
+    return short.withColumn("word", F.lower("name")).join(long, "word").groupBy("doc_id", "name").agg(best.alias("m")).select("doc_id", "name", F.col("m.full").alias("full"), (-F.col("m.s")).alias("score"))
+
+
+def third_party(names: DataFrame, addrs: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Names of documents of which no word is in the name of a participant. names: doc_id, name."""
+    own = addrs.join(contacts.select("contact", "name"), "contact").select("doc_id", F.explode(F.split(F.lower("name"), r"[^a-z0-9]+")).alias("word")).distinct()
+    asked = names.select("doc_id", "name", F.explode(F.split(F.lower("name"), r"[^a-z0-9]+")).alias("word"))
+    met = asked.join(own, ["doc_id", "word"], "left_semi").select("doc_id", "name").distinct()
+    return names.join(met, ["doc_id", "name"], "left_anti")

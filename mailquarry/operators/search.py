@@ -19,6 +19,39 @@ def alternatives(value: str) -> list[str]:
     return [x for x in (v.strip().lower() for v in value.split(";")) if x]
 
 
+# Kinds of attachments and their extensions; `others` are extensions of no kind.
+ATTACHMENT_TYPES = {
+    "graphics": ["jpg", "png", "gif", "bmp"],
+    "document": ["doc", "docx", "pages"],
+    "presentation": ["ppt", "pptx", "key"],
+    "spreadsheet": ["xls", "xlsx", "numbers"],
+    "internet file": ["htm", "html", "css", "js"],
+    "compressed": ["zip", "7z", "tar", "tgz"],
+    "video": ["avi", "mp4"],
+    "audio": ["mp3", "ogg"],
+    "database": ["fmp", "db", "mdb", "accdb"],
+}
+# Patterns of social security and card numbers.
+SENSITIVE = [
+    r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}",
+    r"3[0-9]{3}[-. ][0-9]{6}[-. ][0-9]{5}",
+    r"4[0-9]{3}[-. ][0-9]{4}[-. ][0-9]{4}[-. ][0-9]{4}",
+    r"5[0-9]{3}[-. ][0-9]{4}[-. ][0-9]{4}[-. ][0-9]{4}",
+    r"6011[-. ][0-9]{4}[-. ][0-9]{4}[-. ][0-9]{4}",
+]
+
+
+def of_types(types: list[str], ext: str = "ext") -> Column:
+    """Whether an extension is of one of the kinds; null extensions are of none."""
+    known = [x for xs in ATTACHMENT_TYPES.values() for x in xs]
+    test = F.lower(ext).isin([x for t in types for x in ATTACHMENT_TYPES.get(t.lower(), [])])
+    return test | (~F.lower(ext).isin(known) if "others" in [t.lower() for t in types] else F.lit(False))
+
+
+def sensitive(body: str = "body") -> Column:
+    return F.col(body).rlike("|".join(SENSITIVE))
+
+
 @dataclass(frozen=True)
 class Request:
     """What a message must meet; empty fields ask nothing. All that is set must hold."""
@@ -170,3 +203,53 @@ def by_numbers(docs: DataFrame, order: list[str], spec: str, key: str = "doc_id"
 def page(docs: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
     """A page of an ordered result, from 0: offset and limit, which sort only as much as they need."""
     return docs.orderBy(*order).offset(number * size).limit(size)
+
+
+def by_address(archive: Archive, emails: list[str]) -> DataFrame:
+    """(email, n_docs) of given addresses; addresses without a message have 0."""
+    asked = archive.contacts.sparkSession.createDataFrame([(e.lower(),) for e in emails], "email string").distinct()
+    hits = archive.addrs.join(archive.contacts.select("contact", "email"), "contact").join(F.broadcast(asked), "email").groupBy("email").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return asked.join(hits, "email", "left").select("email", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def import_filter(archive: Archive, persons: tuple[str, ...] = (), start: date | None = None, end: date | None = None, sent_only: bool = False) -> DataFrame:
+    """What an import lets in: messages of the dates, with one of the persons, sent by oneself if asked."""
+    found = select(archive, Request(correspondents=persons, start=start, end=end, direction="out" if sent_only else ""))
+    return found
+
+
+def in_intervals(docs: DataFrame, intervals: DataFrame, column: str = "date", days: int = 31) -> DataFrame:
+    """(interval_id, doc_id): messages with start <= date <= end, intervals may overlap.
+
+    A range join by buckets of `days`: an interval is filed under each bucket that it touches, a message under its own,
+    so the join is an equi-join with a residual test.
+    """
+    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (days * 86_400_000_000))
+    filed = intervals.select("interval_id", "start", "end", F.explode(F.sequence(slot("start"), slot("end"))).alias("_slot"))
+    return docs.withColumn("_slot", slot(column)).join(filed, "_slot").where(f"{column} >= start and {column} <= end").select("interval_id", "doc_id")
+
+
+def listings(archive: Archive) -> DataFrame:
+    """(kind, value): distinct folders, annotations, attachment names and extensions."""
+    parts = [(archive.messages, "folder"), (archive.messages, "comment"), (archive.attachments, "filename"), (archive.attachments, "ext")]
+    out = None
+    for frame, column in parts:
+        own = frame.select(F.lit(column).alias("kind"), F.col(column).alias("value")).where("value is not null").distinct()
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def nearest_context(mentions: DataFrame, query: DataFrame, days: int = 183) -> DataFrame:
+    """(query_id, doc_id, level): mentions of a query's name within half a year, by the nearest level of context.
+
+    Level 1 is the same message, 2 the same thread, 3 the same sender and recipient, 4 the sender, 5 the recipient. Each
+    query keeps its mentions of the least level. mentions: doc_id, name, date, thread, sender, recipient; query has these
+    with query_id.
+    """
+    q = query.select("query_id", F.col("name"), *[F.col(c).alias(f"q_{c}") for c in ("doc_id", "date", "thread", "sender", "recipient")])
+    near = F.abs(F.unix_micros(F.col("date").cast("timestamp")) - F.unix_micros(F.col("q_date").cast("timestamp"))) <= days * 86_400_000_000
+    same = lambda c: F.col(c) == F.col(f"q_{c}")
+    level = F.when(same("doc_id"), 1).when(same("thread"), 2).when(same("sender") & same("recipient"), 3).when(same("sender"), 4).when(same("recipient"), 5)
+    hits = mentions.join(q, "name").where(near).withColumn("level", level).where("level is not null").select("query_id", "doc_id", "level")
+    least = hits.groupBy("query_id").agg(F.min("level").alias("level"))
+    return hits.join(least, ["query_id", "level"]).select("query_id", "doc_id", "level")

@@ -159,3 +159,24 @@ def mbox(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in MESSAGE.replace("array<struct<", "array_struct_").split(", ")] if not out else None)
 
     return lines.mapInPandas(rows, MESSAGE)
+
+
+def blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, sha1, size, n): files of a folder by content; equal names and contents once, with their number."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = rows.select(T.url_tail(F.col("path")).alias("filename"), F.sha1("content").alias("sha1"), F.col("length").alias("size"))
+    return named.groupBy("filename", "sha1").agg(F.first("size").alias("size"), F.count("*").alias("n"))
+
+
+def sql_dump_tuples(spark: SparkSession, path: str) -> DataFrame:
+    """(id, namespace, title) of the tuples in `INSERT INTO` lines of a page table's dump."""
+    tuples = F.regexp_extract_all("value", F.lit(r"\((\d+,\d+,'(?:[^'\\]|\\.)*')"), F.lit(1))
+    row = r"^(\d+),(\d+),'(.*)'$"
+    return spark.read.text(path).where(F.col("value").startswith("INSERT INTO")).select(F.explode(tuples).alias("t")).select(F.regexp_extract("t", row, 1).cast("long").alias("id"), F.regexp_extract("t", row, 2).cast("int").alias("namespace"), F.regexp_replace(F.regexp_extract("t", row, 3), r"\\(.)", "$1").alias("title"))
+
+
+def coauthors(spark: SparkSession, path: str, field: int = 1) -> DataFrame:
+    """(a, b, weight), a < b: authors named together in a field of comma-separated lines, parted by &."""
+    names = F.array_sort(F.array_distinct(F.transform(F.split(F.get(F.split("value", ","), F.lit(field)), "&"), lambda x: F.trim(x))))
+    pairs = F.flatten(F.transform("n", lambda a: F.transform(F.filter("n", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return spark.read.text(path).select(names.alias("n")).where(F.size("n").between(2, 1000)).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))

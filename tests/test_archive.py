@@ -85,3 +85,51 @@ def test_mail_directions(spark, spec):
     lists = spark.createDataFrame([("l",)], "contact string")
     out = {r["contact"]: r["state"] for r in mailing_list_states(addrs, directed, lists).collect()}
     assert out == {"x": 4, "l": 9, "p": 2, "q": 2, "me": 4}
+
+
+def test_types_are_learned_and_labelled(spark):
+    from mailquarry.operators import ner
+
+    titles = [(f"University of {x}", "ORGANISATION") for x in ("Rome", "Oslo", "Lima")] + [(f"{x} Street", "PLACE") for x in ("High", "Rome", "Main")] + [("Oslo", "PLACE"), ("Lima", "PLACE")]
+    gazette = spark.createDataFrame(titles, "title string, type string")
+    table = {}
+    for r in ner.type_table(ner.train(gazette)).collect():
+        table.setdefault(r["token"], {})[r["type"]] = r["p"]
+    assert table["university"] == {"ORGANISATION": 1.0} and table["street"] == {"PLACE": 1.0}
+    assert [s[2] for s in ner.label_phrase("Park Street", table)] == ["PLACE"] and ner.label_phrase("Nothing Known", table) == []
+    assert ner.label_phrase("oslo", table, {"oslo": "PLACE"}) == [(0, 4, "PLACE", 1.0)]
+    docs = spark.createDataFrame([(1, "She left the University of Cairo for Main Street."), (2, None)], "doc_id int, body string")
+    lines = [r["line"] for r in ner.span_lines(ner.recognised(docs, "body", ner.train(gazette))).collect()]
+    assert any(x.startswith("University of Cairo;13;32;ORGANISATION") for x in lines) and any(x.startswith("Main Street;37;48;PLACE") for x in lines)
+
+
+def test_bounded_group_algorithms():
+    assert groups.supergroups([("a", "b"), ("a", "b", "c"), ("x",)]) == [("a", "b", "c"), ("x",)]
+    assert groups.likeness_order([("a", "b"), ("x", "y"), ("b", "c"), ("y", "z")]) == [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z")]
+
+
+def test_nearest_names(spark):
+    from mailquarry.operators.people import expanded_names, third_party
+
+    long = spark.createDataFrame([("Ann Lee", 1, "t", "c"), ("Ann Ray", 2, "t", "c"), ("Ann Zoe", 3, "u", "d")], "name string, doc_id int, thread string, correspondent string")
+    short = spark.createDataFrame([(2, "Ann", "t", "c"), (9, "ann", "u", "x"), (8, "Bob", "t", "c")], "doc_id int, name string, thread string, correspondent string")
+    assert {(r["doc_id"], r["full"], r["score"]) for r in expanded_names(short, long).collect()} == {(2, "Ann Ray", 1.0), (9, "Ann Zoe", 0.9)}
+    addrs = spark.createDataFrame([(1, "c1")], "doc_id int, contact string")
+    book = spark.createDataFrame([("c1", "Ann Lee")], "contact string, name string")
+    names = spark.createDataFrame([(1, "Lee"), (1, "Bob Ray")], "doc_id int, name string")
+    assert [r["name"] for r in third_party(names, addrs, book).collect()] == ["Bob Ray"]
+
+
+def test_file_sources(spark, tmp_path):
+    from mailquarry.sources import files
+
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b/x.txt").write_text("same")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/x.txt").write_text("same")
+    (tmp_path / "c/y.txt").write_text("other")
+    assert {(r["filename"], r["size"], r["n"]) for r in files.blobs(spark, str(tmp_path)).collect()} == {("x.txt", 4, 2), ("y.txt", 5, 1)}
+    (tmp_path / "p.sql").write_text("CREATE TABLE x;\nINSERT INTO `page` VALUES (1,0,'It\\'s',0),(2,4,'B',1);\n")
+    assert [tuple(r) for r in files.sql_dump_tuples(spark, str(tmp_path / "p.sql")).orderBy("id").collect()] == [(1, 0, "It's"), (2, 4, "B")]
+    (tmp_path / "a.csv").write_text("1,Ann & Bob & Cy,x\n2,Bob & Ann,y\n3,Solo,z\n")
+    assert {tuple(r) for r in files.coauthors(spark, str(tmp_path / "a.csv")).collect()} == {("Ann", "Bob", 2), ("Ann", "Cy", 1), ("Bob", "Cy", 1)}
