@@ -16,20 +16,26 @@ from pyspark.sql import functions as F
 from mailquarry.llm.common import batches_of, crc32_of, cut, small_batches
 
 #: Labelled rows, drawn by hash of their key, that the examples and the vocabulary are made of.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 12_000
 NEIGHBOURS = 15
 #: A term is kept if its smoothed log-odds between the classes are, at 95 % confidence, at least this far from 0.
 LEAST_ODDS = 1.5
-PREFIX = 4
+#: Lengths of the word prefixes that are terms too, and how many occurrences of a term in a text are terms of their own.
+PREFIXES, LEVELS = range(4, 9), 3
 BLOCK = 64
 CACHE = 300_000
 REJECT = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of_word(word: str) -> tuple[str, ...]:
-    """A word is a term, and so is its prefix, marked with a star."""
-    return (word, word[:PREFIX] + "*") if len(word) > PREFIX else (word,)
+def bases_of_word(word: str) -> tuple[str, ...]:
+    """A word, and its proper prefixes of 4 to 8 letters, marked with a star."""
+    return (word, *(word[:n] + "*" for n in PREFIXES if n < len(word)))
+
+
+def terms_of(counts: dict[str, int]) -> list[str]:
+    """The terms of a text: each base, and each with the number of its second and third occurrence, if there is one."""
+    return [base if k == 1 else f"{base}{k}" for base, n in counts.items() for k in range(1, min(n, LEVELS) + 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,29 +49,33 @@ class Vocabulary:
     number: dict[str, int]
     idf: np.ndarray
 
-    def vector(self, counts: dict[int, int]) -> tuple[tuple[int, ...], np.ndarray]:
-        """Terms in order and their weights (1 + ln tf) * idf at length 1."""
-        terms = tuple(sorted(counts))
-        weights = np.array([(1 + np.log(counts[t])) * self.idf[t] for t in terms])
+    def vector(self, terms: tuple[int, ...]) -> tuple[tuple[int, ...], np.ndarray]:
+        """Terms and their weights at length 1. Term frequency is in the terms: a base occurs up to three times in them."""
+        weights = self.idf[list(terms)]
         return terms, weights / (np.sqrt((weights**2).sum()) or 1)
 
 
 class Reader:
-    """Turns texts into term counts; remembers which terms a word has for a bounded number of words."""
+    """Turns texts into terms; remembers which bases a word has for a bounded number of words."""
 
     def __init__(self, number: dict[str, int]) -> None:
-        self.number, self.known = number, {}
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for term, i in number.items():
+            base, k = (term[:-1], int(term[-1])) if term[-1].isdigit() else (term, 1)
+            self.levels.setdefault(base, []).append((k, i))
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def __call__(self, text: str | None) -> dict[int, int]:
+    def __call__(self, text: str | None) -> tuple[int, ...]:
         words = words_of(text)
-        known, get = self.known, self.number.get
+        known = self.known
         new = {w for w in words if w not in known}
         if len(known) + len(new) > CACHE:
             known.clear()
             new = set(words)
         for w in new:
-            known[w] = tuple(t for x in terms_of_word(w) if (t := get(x)) is not None)
-        return Counter(t for hit in map(known.__getitem__, words) if hit for t in hit)
+            known[w] = tuple(x for x in bases_of_word(w) if x in self.levels)
+        counts = Counter(x for hit in map(known.__getitem__, words) if hit for x in hit)
+        return tuple(sorted(i for x, n in counts.items() for k, i in self.levels[x] if n >= k))
 
 
 class BlockMaxIndex:
@@ -145,19 +155,18 @@ class Judge:
         self.vocabulary, self.toxic, self.ids, self.none, self.steps = Vocabulary(number, idf), toxic, ids, no_evidence, steps
         self.read, self.index, self.seen = Reader(number), BlockMaxIndex(vectors, len(number)), {}
 
-    def raw(self, counts: dict[int, int], but: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vocabulary.vector(counts), NEIGHBOURS, but)
+    def raw(self, terms: tuple[int, ...], but: int = -1) -> tuple[float, list[tuple[float, int]]]:
+        near = self.index.nearest(*self.vocabulary.vector(terms), NEIGHBOURS, but)
         return vote(near, self.toxic, self.none), near
 
     def __call__(self, text: str | None) -> tuple[float, list[dict]]:
-        counts = self.read(text)
-        if not counts:
+        key = self.read(text)
+        if not key:
             return self.none, []
-        key = tuple(sorted(counts.items()))
         if key not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            score, near = self.raw(counts)
+            score, near = self.raw(key)
             if len(self.steps[0]):
                 score = float(np.interp(score, *self.steps))
             self.seen[key] = score, [{"doc_id": int(self.ids[i]), "cosine": c, "toxic": int(self.toxic[i])} for c, i in near[:3]]
@@ -171,7 +180,7 @@ def _read_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(2).to_pylist():
             words = words_of(text)
             twins.append(min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) >> 1)
-            terms.append(sorted({t for w in set(words) for t in terms_of_word(w)}))
+            terms.append(terms_of(Counter(b for w in words for b in bases_of_word(w))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(twins, pa.int64()), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "toxic", "twin", "terms"])
 
 
@@ -180,7 +189,7 @@ def _count_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         read = Reader(shared.value)
         for batch in batches_of(source):
             found = [read(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     return count
 
@@ -189,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     """Learns from about `rows` labelled rows of docs: labels has doc_id and toxic (0 or 1, nulls left out).
 
     The sample is drawn from labels by hash, so at most about `rows` keys are broadcast to find their texts. Of examples
-    that look like copies one is kept for each class. Terms are words and word prefixes whose log-odds between
-    the classes are significantly off; they and the examples' vectors, bounded by the sample, go to the driver. The votes
+    that look like copies one is kept for each class. Terms are words and word prefixes (and their second
+    and third occurrence in a text) whose log-odds between the classes are significantly off; they and the examples' vectors, bounded by the sample, go to the driver. The votes
     that examples get with themselves left out calibrate the score. None: no labelled text.
     """
     small_batches(docs.sparkSession)
@@ -214,15 +223,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxicity
     kept = counted.where(F.abs(odds) - 1.96 * spread >= LEAST_ODDS).orderBy("term").select("term", "a", "b").collect()
     number = {r["term"]: i for i, r in enumerate(kept)}
     idf = np.log((1.0 + n1 + n0) / (1.0 + np.array([r["a"] + r["b"] for r in kept], float)))
-    found = texts.join(F.broadcast(single.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_count_batches(context.broadcast(number)), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()
+    found = texts.join(F.broadcast(single.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_count_batches(context.broadcast(number)), "doc_id long, toxic int, terms array<int>").orderBy("doc_id").collect()
     with_terms = [r for r in found if r["terms"]]
     silent = [r["toxic"] for r in found if not r["terms"]]
     none = (sum(silent) + 0.5 * n1 / (n1 + n0)) / (len(silent) + 0.5)
     vocabulary = Vocabulary(number, idf)
-    counts = [dict(zip(r["terms"], r["counts"])) for r in with_terms]
-    model = ToxicityModel(number, idf, [vocabulary.vector(c) for c in counts], np.array([r["toxic"] for r in with_terms], int), np.array([r["doc_id"] for r in with_terms], np.int64), float(none), (np.array([]), np.array([])))
+    own = [tuple(r["terms"]) for r in with_terms]
+    model = ToxicityModel(number, idf, [vocabulary.vector(t) for t in own], np.array([r["toxic"] for r in with_terms], int), np.array([r["doc_id"] for r in with_terms], np.int64), float(none), (np.array([]), np.array([])))
     judge = Judge(*model.plain())
-    votes = np.array([judge.raw(c, i)[0] for i, c in enumerate(counts)], float)
+    votes = np.array([judge.raw(t, i)[0] for i, t in enumerate(own)], float)
     model.steps = calibrated(votes, model.toxic)
     return model
 
