@@ -16,12 +16,12 @@ PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"(?<=(?:password|passwd|secret|api_key|token)\s?[=:]\s?[\"']?)[0-9a-f]{16,64}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w-])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])",
+    "phone": r"(?<![\w.])\+[0-9]{8,15}(?![\w-])|(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])",
 }
 #: Every match holds a digit or an at sign; the look-ahead lets the scan pass over plain prose quickly.
 ANY = "|".join(PATTERNS.values())
@@ -135,13 +135,20 @@ def _remainder97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _compact(v: Column) -> Column:
+    return F.replace(v, F.lit(" "), F.lit(""))
+
+
 def _iban_ok(v: Column) -> Column:
-    return _remainder97(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1
+    c = _compact(v)
+    return _remainder97(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1
 
 
 def _iban(v: Column, key: str) -> Column:
+    """The country stays, the account is permuted, the check digits are made to fit; blanks stay in place."""
     check = lambda body: F.lpad((98 - _remainder97(F.concat(body, F.substring(v, 1, 2), F.lit("00")))).cast("string"), 2, "0")
-    return _let(_characters(F.substring(v, F.lit(5), F.length(v)), key, "iban"), lambda body: F.concat(F.substring(v, 1, 2), check(body), body))
+    body = _characters(F.substring(_compact(v), F.lit(5), F.length(v)), key, "iban")
+    return _let(body, lambda b: _refilled(F.split(v, ""), F.split(F.concat(F.substring(v, 1, 2), check(b), b), ""), "[A-Z0-9]"))
 
 
 def _ip(v: Column, key: str) -> Column:
