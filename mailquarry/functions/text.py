@@ -219,3 +219,68 @@ def signature(*parts: Column) -> Column:
 def array_text(values: Column, mark: str = "|") -> Column:
     """An array of texts as one text."""
     return F.array_join(values, mark)
+
+
+def cleaned_message(text: Column) -> Column:
+    """A message up to its signature (a line of two dashes) or a forward or reply mark."""
+    return F.regexp_replace(text, r"(?s)(?:^|\n)(?:-- ?\n|-{2,} ?(?:Original|Forwarded) Message|[^\n]*wrote:\s*\n).*$", "")
+
+
+def escaped_html(text: Column) -> Column:
+    out = text
+    for raw, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(raw), F.lit(code))
+    return out
+
+
+def unescaped_html(text: Column) -> Column:
+    out = text
+    for raw, code in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("&", "&amp;")):
+        out = F.replace(out, F.lit(code), F.lit(raw))
+    return out
+
+
+def blanked_word(text: Column, word: str) -> Column:
+    """The text with a word replaced by underscores of equal length; words of one letter stay."""
+    return text if len(word) < 2 else F.regexp_replace(text, rf"(?i)(?<!\p{{L}})\Q{word}\E(?!\p{{L}})", "_" * len(word))
+
+
+def longest_word(text: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(words(text), lambda w: F.length(w))), F.lit(0))
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
+
+
+def safe_filename(name: Column) -> Column:
+    return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
+
+
+def without_titles(name: Column) -> Column:
+    return F.regexp_replace(name, r"^(?i)(?:(?:mr|mrs|ms|dr|prof|sir|madam)\.? )+", "")
+
+
+def comma_flipped(name: Column) -> Column:
+    return F.regexp_replace(name, r"^([^,]+), *([^,]+)$", "$2 $1")
+
+
+def title_cased(text: Column) -> Column:
+    """Each word with a capital first letter, small joining words as they are."""
+    small = ["a", "an", "and", "as", "at", "but", "for", "in", "is", "of", "on", "the", "to", "was", "with"]
+    return F.array_join(F.transform(words(text), lambda w: F.when(F.lower(w).isin(small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), " ")
+
+
+def is_acronym_of(short: Column, phrase: Column) -> Column:
+    return (short == F.upper(short)) & (acronym_of(phrase) == short) & (F.length(short) > 1)
+
+
+def sentences(text: Column) -> Column:
+    """Sentences by final punctuation before a capital, and by line ends."""
+    return F.filter(F.split(text, r"(?<=[.!?])\s+(?=\p{Lu})|\n+"), lambda s: F.trim(s) != "")
+
+
+def any_term(text: Column, query: str) -> Column:
+    """Whether one of the `|`-parted terms is in the text, ignoring case."""
+    terms = [t.strip().lower() for t in query.split("|") if t.strip()]
+    return F.greatest(*[F.lower(text).contains(t) for t in terms], F.lit(False))

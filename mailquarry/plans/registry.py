@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailquarry.plans import events, more, orders, texts
+from mailquarry.plans import events, extra, more, orders, texts
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**orders.QUERIES, **events.QUERIES, **texts.QUERIES, **more.QUERIES}
+    return {**orders.QUERIES, **events.QUERIES, **texts.QUERIES, **more.QUERIES, **extra.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**orders.SQL, **events.SQL, **texts.SQL, **more.SQL}
+    return {**orders.SQL, **events.SQL, **texts.SQL, **more.SQL, **extra.SQL}

@@ -138,3 +138,28 @@ def test_exports(spark):
     assert export.mbox_text(rows).first()["value"] == "From -\nMessage-ID: 1\nSubject: S x\n\n>From a\nb\n"
     links = spark.createDataFrame([("HTTP://a",), ("http://a",)], "url string")
     assert export.links_json(links).first()["json"] == '{"url":"http://a","times":2}'
+
+
+@pytest.mark.parametrize(
+    ("f", "cases"),
+    [
+        (T.cleaned_message, {"a\n-- \nsig": "a", "a\nhe wrote:\nb": "a", "plain": "plain"}),
+        (T.escaped_html, {'<a & "b">': "&lt;a &amp; &quot;b&quot;&gt;"}),
+        (T.unescaped_html, {"&lt;a &amp; b&gt;": "<a & b>"}),
+        (lambda c: T.blanked_word(c, "Ann"), {"Ann met Anna": "___ met Anna"}),
+        (T.without_titles, {"Dr. Mrs Ann Lee": "Ann Lee", "Drake": "Drake"}),
+        (T.comma_flipped, {"Lee, Ann": "Ann Lee", "Ann Lee": "Ann Lee"}),
+        (T.title_cased, {"bank of america": "Bank of America"}),
+        (lambda c: T.is_acronym_of(F.lit("BA"), c), {"Bank of America": True, "Big": False}),
+        (lambda c: T.array_text(T.sentences(c)), {"One. Two! three.\nFour": "One.|Two! three.|Four"}),
+    ],
+)
+def test_more_scalars(spark, f, cases):
+    assert values(spark, f, list(cases)) == list(cases.values())
+
+
+def test_boosts(spark):
+    from mailquarry.operators.curation import boosts
+
+    log = spark.createDataFrame([("a", 1, "boost"), ("b", 1, "boost"), ("b", 2, "cancel"), ("c", 1, "cancel"), ("c", 2, "boost")], "term string, at int, kind string")
+    assert {(r["term"], r["boost"]) for r in boosts(log).collect()} == {("a", 2.0), ("b", 0.0), ("c", 2.0)}
