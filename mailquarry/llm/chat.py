@@ -24,6 +24,23 @@ def adjacent_pairs(turns: DataFrame) -> DataFrame:
     return ids.select("conv_id", F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"))
 
 
+def with_swapped_answers(turns: DataFrame) -> DataFrame:
+    """Conversations 2c (conversation c as it is) and 2c + 1 (c up to its last answer, then its neighbour's last answer).
+
+    The neighbour of c is c + 1 for even and c - 1 for odd c. Where either has no answer there is no 2c + 1. This makes
+    preference pairs of a table of plain conversations: the answer that was given, and one that belongs elsewhere.
+    """
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    last = F.max(F.struct("turn", "text"))
+    answers = rows.where("role = 'assistant' and turn is not null").groupBy("conv_id").agg(last.alias("m")).select("conv_id", F.col("m.turn").alias("last"), F.col("m.text").alias("answer"))
+    others = answers.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("answer").alias("other"))
+    known = answers.join(others, "conv_id").select("conv_id", "last", "other")
+    twin = (F.col("conv_id") * 2 + 1).alias("conv_id")
+    kept = rows.join(known, "conv_id").where("turn < last").select(twin, "turn", "role", "text")
+    swapped = known.select(twin, F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    return rows.withColumn("conv_id", F.col("conv_id") * 2).unionByName(kept).unionByName(swapped)
+
+
 def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """Formats pairs of conversations, a row for each turn: a conversation of any length never sits in one task or value.
 
@@ -58,7 +75,11 @@ def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-with t as (select conv_id, conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, coalesce(turn, 4611686018427387904) as turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+with r as (select conv_id, turn, role, text from conversations where conv_id is not null),
+an as (select conv_id, max(turn) as last, arg_max(text, (turn, text)) as answer from r where role = 'assistant' and turn is not null group by conv_id),
+kn as (select a.conv_id, a.last, b.answer as other from an a join an b on xor(a.conv_id, 1) = b.conv_id),
+al as (select conv_id * 2 as conv_id, turn, role, text from r union all select conv_id * 2 + 1, turn, role, text from r join kn using (conv_id) where turn < last union all select conv_id * 2 + 1, last, 'assistant', other from kn),
+t as (select conv_id, conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, coalesce(turn, 4611686018427387904) as turn, coalesce(role, '') as role, coalesce(text, '') as text from al),
 d as (select pair_id, turn, list(role || chr(31) || text order by role, text) filter (where side = 'chosen') as c, list(role || chr(31) || text order by role, text) filter (where side = 'rejected') as r from t group by pair_id, turn),
 f as (select pair_id, min(turn) as fork from d where c is distinct from r group by pair_id),
 s as (select t.pair_id, turn, role, text, case when turn < coalesce(fork, 9223372036854775807) then 'prompt' else side end as segment, '<|im_start|>' || role || chr(10) || replace(text, '<|', '<\|') || '<|im_end|>' || chr(10) as rendered

@@ -19,7 +19,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = chat.with_swapped_answers(table(spark, sf_dir, "conversations"))
     return chat.preference_segments(turns, chat.adjacent_pairs(turns))
 
 

@@ -125,6 +125,15 @@ def test_preferences_by_brute_force(spark):
                     assert x["rendered"][x["loss_start"] : x["loss_end"]].endswith("<|im_end|>") and x["rendered"][: x["loss_start"]] == "<|im_start|>assistant\n"
 
 
+def test_swapped_answers(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (1, 0, "user", "r"), (1, 1, "assistant", "b"), (1, 3, "assistant", "a1"), (2, 0, "user", "x"), (None, 0, "user", "n")]
+    out = chat.with_swapped_answers(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    talks = {}
+    for r in sorted(out, key=lambda r: (r["conv_id"], r["turn"])):
+        talks.setdefault(r["conv_id"], []).append(r["text"])
+    assert talks == {0: ["q", "a0", "more"], 1: ["q", "a1"], 2: ["r", "b", "a1"], 3: ["r", "b", "a0"], 4: ["x"]}
+
+
 # Toxicity
 
 
