@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.functions import text as T
-from mailquarry.operators.lineage import cut
+from mailquarry.operators.lineage import cut, numbered
 
 SUPER_DEFINITE, DEFINITE, MAYBE, DEFINITE_NOT, USER_ASSIGNED = 8, 1, 2, 4, 16
 
@@ -124,9 +124,9 @@ def last_seen(addrs: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def first_seen_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Dense ids from 1 in the order in which keys are first seen. Only the distinct keys pass the ordering window."""
+    """Dense ids from 1 in the order in which keys are first seen."""
     first = rows.groupBy(key).agg(F.min(order).alias("first"))
-    return first.select(key, F.row_number().over(Window.orderBy("first", key)).alias("id"))
+    return numbered(first, ["first", key], "id").select(key, (F.col("id") + 1).alias("id"))
 
 
 def own_addresses(addrs: DataFrame, contacts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailquarry.operators.lineage import numbered
 from mailquarry.sources.archive import Archive
 
 #: Bounds in bytes of the attachment size classes 1 to 5.
@@ -192,10 +193,10 @@ def numbers(spec: str, n: int) -> list[tuple[int, int]]:
 
 
 def by_numbers(docs: DataFrame, order: list[str], spec: str, key: str = "doc_id") -> DataFrame:
-    """Rows at given places of an order. Only the key travels through the ordering window, in ranges of the first column."""
-    placed = docs.select(key, *[c for c in order if c != key]).withColumn("row_no", F.row_number().over(Window.orderBy(*order)) - 1)
+    """Rows at given places of an order. Only the key and the order travel, and no task sees all rows."""
+    placed = numbered(docs.select(key, *[c for c in order if c != key]), order, "row_no")
     test = F.lit(False)
-    for a, b in numbers(spec, docs.count()):
+    for a, b in numbers(spec, placed.count()):
         test = test | F.col("row_no").between(a, b)
     return placed.where(test)
 

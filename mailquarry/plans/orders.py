@@ -320,7 +320,7 @@ def mailing_list_state(spark, sf_dir):
     return people.mailing_list_states(a.addrs, directed, a.contacts.where("is_list"))
 
 
-@query("f as (select contact, min(doc_id) as first from addrs where role = 'from' group by 1) select contact, row_number() over (order by first, contact)::int as id from f")
+@query("f as (select contact, min(doc_id) as first from addrs where role = 'from' group by 1) select contact, row_number() over (order by first, contact) as id from f")
 def first_seen_ids(spark, sf_dir):
     return people.first_seen_ids(order_archive(spark, sf_dir).addrs.where("role = 'from'"), "contact", "doc_id")
 
