@@ -57,11 +57,6 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def _lookup(value: Column, table: dict[int, int]) -> list[Column]:
-    """value's entry in a small table, if it has any."""
-    return [F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])[value]] if table else []
-
-
 def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str]) -> DataFrame:
     """Adds next_<c> for each carried column: its value in the next row in descending order; the last row gets the first's.
 
@@ -73,10 +68,14 @@ def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str]) ->
     bounds = bounds_of(df.select(order), order, stats)
     by_range = df.withColumn("_range", range_of(F.col(order), bounds))
     tops = by_range.groupBy("_range").agg(F.max(order).alias("top")).orderBy(F.desc("_range")).collect()  # bounded by the bounds
-    follows = {tops[i]["top"]: tops[i - 1]["_range"] for i in range(len(tops))}
+    top_of: list[int | None] = [None] * (len(bounds) + 1)
+    above_of = [0] * (len(bounds) + 1)
+    for i, r in enumerate(tops):
+        top_of[r["_range"]], above_of[r["_range"]] = r["top"], tops[i - 1]["_range"]
+    top = F.get(F.array(*[F.lit(t).cast("long") for t in top_of]), F.col("_range"))
+    above = F.get(F.array(*[F.lit(t) for t in above_of]), F.col("_range"))
     here = F.struct(F.col("_range").alias("_at"), F.lit(False).alias("_copy"))
-    above = F.coalesce(*[F.when(F.col(order).eqNullSafe(F.lit(None)), F.lit(follows[None])) for _ in [0] if None in follows], *_lookup(F.col(order), {k: v for k, v in follows.items() if k is not None}), F.lit(None).cast("int"))
-    target = F.when(above.isNull(), F.array(here)).otherwise(F.array(here, F.struct(above.alias("_at"), F.lit(True).alias("_copy"))))
+    target = F.when(F.col(order).eqNullSafe(top), F.array(here, F.struct(above.alias("_at"), F.lit(True).alias("_copy")))).otherwise(F.array(here))
     dealt = by_range.withColumn("_to", F.explode(target))
     span = Window.partitionBy("_to._at").orderBy(F.col("_to._copy"), F.desc_nulls_last(order), *ties)
     led = dealt.select("*", *[F.lead(c).over(span).alias(f"next_{c}") for c in carried])

@@ -223,6 +223,8 @@ def test_edited_pairs(spark, docs, hard, none, monkeypatch):
     assert all(plain[r["doc_id"]] == r["fingerprint"] for r in paired)
     assert np.mean([r["near_edited"] for r in paired]) > 0.2 > 20 * np.mean([r["near_next"] for r in paired])
     assert syncmers.edited_pairs(none).count() == 0
+    loose = spark.createDataFrame([(None, "zz"), (5, "abcd"), (None, "yy")], "doc_id int, text string")
+    assert sorted(r["edited_sha256"] for r in syncmers.edited_pairs(loose).collect()) == sorted(hashlib.sha256(x).hexdigest() for x in (b"abyy", b"yz", b"za"))
     one = spark.createDataFrame([(7, "abcdef")], "doc_id int, text string")
     assert syncmers.edited_pairs(one).first()["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
 
