@@ -38,3 +38,23 @@ def json_leaves(rows: DataFrame, column: str, key: str) -> DataFrame:
 
 def hashed_leaves(leaves: DataFrame) -> DataFrame:
     return leaves.withColumn("value", F.sha2("value", 256))
+
+
+def kept(table: DataFrame, selected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of any table of an archive that belong to selected messages."""
+    return table.join(selected.select(key).distinct(), key, "left_semi")
+
+
+def removed(table: DataFrame, selected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A table of an archive without selected messages."""
+    return table.join(selected.select(key).distinct(), key, "left_anti")
+
+
+def name_lines(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, value): the entities of each message in lower case, blanks as underscores, for a text sink."""
+    return found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.replace(F.lower("entity"), F.lit(" "), F.lit("_")))), " ").alias("value"))
+
+
+def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """A table with fixed columns, missing ones empty, as CSV with a header."""
+    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").option("header", True).csv(path)
