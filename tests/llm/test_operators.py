@@ -505,3 +505,37 @@ def test_pipeline_stages(spark, docs):
             assert ids == was
     last = corpus_pipeline.run(spark, SF)
     assert last.columns == [*docs.columns, "shard", "slot"] and last.count() == now.count()
+
+
+# Nulls and clashing names in all operators
+
+
+CLASH = "doc_id long, text string, source string, lang string, n_chars long, shard int, slot long, pii string, row string, _name string, _hash long, _row long, _bucket long, _tokens int, _head long, fp long, label long, score double, component_id long"
+
+
+def test_nulls_and_clashing_names(spark):
+    rows = [(None,) * 19, (1, None, *(None,) * 17), (None, "some text here", *(None,) * 17), (2, "some text here", "s", "en", 3, 1, 2, "p", "r", "n", 1, 2, 3, 4, 5, 6, 7, 0.5, 8)] * 2
+    docs = spark.createDataFrame(rows, CLASH)
+    labels = spark.createDataFrame([(None, None), (1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(None, None), (1, None), (None, "x"), (7, "other words")], "item_id long, text string")
+    n = len(rows)
+    kept = {
+        "pii": pii.pseudonymised(docs, "k"),
+        "toxicity": toxicity.keep_clean(docs, labels),
+        "mixing": mixing.mixed_documents(docs),
+        "decontamination": decontaminate.without_benchmark(docs, bench),
+    }
+    for name, frame in kept.items():
+        assert sorted(frame.columns) == sorted(docs.columns), name
+        assert frame.count() >= n, name
+        assert frame.where("row = 'r' and _hash = 1 and _name = 'n' and _tokens = 4").count() >= 2, name
+    assert sharding.sharded(docs).columns == [*docs.columns, "_shard", "_slot"]
+    assert sharding.sharded(docs).where("_row = 2 and row = 'r'").count() == 2 and sharding.sharded(docs).select("_shard", "_slot").distinct().count() == n
+    single = simhash.one_of_each(docs)
+    assert single.columns == docs.columns and single.where("doc_id is null").count() == 4 and single.where("doc_id is not null").count() == 2
+    for frame in (toxicity.held_out_scores(docs, labels), syncmers.edited_pairs(docs), simhash.near_duplicates(docs), sharding.shard_report(docs), decontaminate.contamination(docs, bench), langid.held_out_identification(docs)):
+        assert frame.count() == n
+    assert mixing.plan(docs).count() >= n and license.notices(docs).count() == 0 and syncmers.fingerprints(docs).count() == n
+    turns = spark.createDataFrame([(None, None, None, None), (1, None, None, None), (1, 0, None, "x"), (2, None, "assistant", None), (3, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    out = chat.preference_segments(chat.with_swapped_answers(turns), chat.adjacent_pairs(chat.with_swapped_answers(turns))).collect()
+    assert {r["pair_id"] for r in out} == {1, 2, 3} and all(r["rendered"] for r in out)
