@@ -18,6 +18,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training rows drawn by hash for each language (all rows of a language that has fewer).
 SAMPLE_ROWS = 1000
 ROUNDS = 3
+#: Languages whose table (a name and a count) may be broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 FLOOR = 1e-8
 UNKNOWN = "und"
 #: Words whose scores a worker remembers.
@@ -113,7 +115,9 @@ def _drawn(train: DataFrame, rows: int) -> DataFrame:
     """About `rows` rows of each language, by a hash of the key, so the draw is the same in every run."""
     counts = cut(train.groupBy("lang").agg(F.count("*").alias("n")))
     drawn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return train.join(F.broadcast(counts), "lang").where(drawn < rows / F.col("n")).drop("n")
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)  # then texts stay where they are
+    return train.join(counts, "lang").where(drawn < rows / F.col("n")).drop("n")
 
 
 def _normalised(uses: np.ndarray) -> np.ndarray:
