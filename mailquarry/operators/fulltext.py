@@ -96,7 +96,7 @@ def tfidf(counts: DataFrame, cluster: str, incremental: bool = False) -> DataFra
         # the number of clusters so far is a small table: one row for each cluster
         ranks = tf.select(cluster).distinct().withColumn("n", F.row_number().over(Window.orderBy(cluster)))
         df = F.count("*").over(Window.partitionBy("term").orderBy(cluster).rowsBetween(Window.unboundedPreceding, 0))
-        rated = tf.withColumn("df", df).join(F.broadcast(ranks), cluster)
+        rated = tf.withColumn("df", df).join(ranks, cluster)
     else:
         dfs = tf.groupBy("term").agg(F.count("*").alias("df"))
         rated = tf.join(dfs, "term").crossJoin(F.broadcast(tf.agg(F.countDistinct(cluster).alias("n"))))
