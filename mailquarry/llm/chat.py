@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailquarry.llm.common import cut
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns whose lengths are summed in one step; a conversation's running offset is the sum of whole chunks and a rest.
 CHUNK = 256
@@ -38,7 +40,7 @@ def with_swapped_answers(turns: DataFrame) -> DataFrame:
     twin = (F.col("conv_id") * 2 + 1).alias("conv_id")
     kept = rows.join(known, "conv_id").where("turn < last").select(twin, "turn", "role", "text")
     swapped = known.select(twin, F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return rows.withColumn("conv_id", F.col("conv_id") * 2).unionByName(kept).unionByName(swapped)
+    return cut(rows.withColumn("conv_id", F.col("conv_id") * 2).unionByName(kept).unionByName(swapped))  # else each later use makes it anew
 
 
 def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
