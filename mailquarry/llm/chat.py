@@ -40,7 +40,8 @@ def with_swapped_answers(turns: DataFrame) -> DataFrame:
     twin = (F.col("conv_id") * 2 + 1).alias("conv_id")
     kept = rows.join(known, "conv_id").where("turn < last").select(twin, "turn", "role", "text")
     swapped = known.select(twin, F.col("last").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return cut(rows.withColumn("conv_id", F.col("conv_id") * 2).unionByName(kept).unionByName(swapped))  # else each later use makes it anew
+    every = rows.withColumn("conv_id", F.col("conv_id") * 2).unionByName(kept).unionByName(swapped)
+    return cut(every.repartition("conv_id", "turn"))  # evenly, also for a long conversation; written, as it is used several times
 
 
 def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
