@@ -55,26 +55,30 @@ def preference_segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     Returns pair_id, segment, turn, role, rendered, start (code points before it in its segment), loss_start, loss_end:
     the part of `rendered` that is trained on (text and end marker of assistant turns of completions; else empty: 0, 0).
     Turns without a number stand last, as one; null roles and texts are empty; repeated turns stay repeated (ordered by
-    role and text). A side that is missing or empty leaves the prompt empty. Rows without conv_id are in no pair. Other
+    role and text). Offsets are worked out on narrow rows, and texts join them at the end. A side that is missing or empty leaves the prompt empty. Rows without conv_id are in no pair. Other
     columns are not read.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sided = pairs.select("conv_id", "pair_id", "side").join(rows, "conv_id")
-    digest = F.xxhash64("role", "text").cast("decimal(38,0)")
-    of_side = [x for s in ("chosen", "rejected") for x in (F.count_if(F.col("side") == s).alias(f"n_{s}"), F.sum(F.when(F.col("side") == s, digest)).alias(f"d_{s}"))]
+    key = ["conv_id", "turn", "_rank"]
+    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ranked = cut(rows.withColumn("_rank", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))).withColumn("rendered", rendered(F.col("role"), F.col("text"))))
+    narrow = ranked.select(*key, "role", F.length("rendered").cast("long").alias("_n"), F.xxhash64("role", "text").cast("decimal(38,0)").alias("_digest"))
+    sided = pairs.select("conv_id", "pair_id", "side").join(narrow, "conv_id")
+    of_side = [x for s in ("chosen", "rejected") for x in (F.count_if(F.col("side") == s).alias(f"n_{s}"), F.sum(F.when(F.col("side") == s, F.col("_digest"))).alias(f"d_{s}"))]
     turn_pairs = sided.groupBy("pair_id", "turn").agg(*of_side)
     differ = turn_pairs.where((F.col("n_chosen") != F.col("n_rejected")) | ~F.col("d_chosen").eqNullSafe(F.col("d_rejected")))
     first = differ.groupBy("pair_id").agg(F.min("turn").alias("fork"))
-    split = sided.join(first, "pair_id", "left").withColumn("_same", F.coalesce(F.col("turn") < F.col("fork"), F.lit(True)))
-    parts = split.where("not _same or side = 'chosen'").withColumn("segment", F.when(F.col("_same"), "prompt").otherwise(F.col("side"))).withColumn("rendered", rendered(F.col("role"), F.col("text")))
-    sized = parts.withColumn("_n", F.length("rendered").cast("long")).withColumn("_chunk", F.floor(F.col("turn") / CHUNK))
-    inside = Window.partitionBy("pair_id", "segment", "_chunk").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    split = sided.drop("_digest").join(first, "pair_id", "left").withColumn("_same", F.coalesce(F.col("turn") < F.col("fork"), F.lit(True)))
+    parts = split.where("not _same or side = 'chosen'").withColumn("segment", F.when(F.col("_same"), "prompt").otherwise(F.col("side")))
+    sized = parts.withColumn("_chunk", F.floor(F.col("turn") / CHUNK))
+    inside = Window.partitionBy("pair_id", "segment", "_chunk").orderBy("turn", "_rank").rowsBetween(Window.unboundedPreceding, -1)
     chunks = sized.groupBy("pair_id", "segment", "_chunk").agg(F.sum("_n").alias("_all"))
     before = chunks.select("pair_id", "segment", "_chunk", F.coalesce(F.sum("_all").over(Window.partitionBy("pair_id", "segment").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     placed = sized.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before, ["pair_id", "segment", "_chunk"])
     trained = (F.col("segment") != "prompt") & (F.col("role") == "assistant")
     head = F.length(F.lit(OPEN)) + F.length("role") + 1
-    return placed.select("pair_id", "segment", F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "rendered", (F.col("_before") + F.col("_inside")).alias("start"), F.when(trained, head).otherwise(0).cast("long").alias("loss_start"), F.when(trained, F.col("_n") - 1).otherwise(0).alias("loss_end"))
+    spans = placed.select(*key, "pair_id", "segment", "role", (F.col("_before") + F.col("_inside")).alias("start"), F.when(trained, head).otherwise(0).cast("long").alias("loss_start"), F.when(trained, F.col("_n") - 1).otherwise(0).alias("loss_end"))
+    full = spans.join(ranked.select(*key, "rendered"), key)
+    return full.select("pair_id", "segment", F.when(F.col("turn") < LAST, F.col("turn")).alias("turn"), "role", "rendered", "start", "loss_start", "loss_end")
 
 
 ORACLE_SQL = r"""
