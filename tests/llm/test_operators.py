@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from conftest import SF, rows_of
 
-from mailquarry.llm import chat, decontaminate, langid, license, mixing, ordering, pii, registry, sharding, simhash, syncmers, toxicity
+from mailquarry.llm import chat, decontaminate, langid, license, mixing, ordering, pii, registry, sharding, shingles, simhash, syncmers, toxicity
 from mailquarry.llm.common import table
 from mailquarry.llm.components import components
 
@@ -364,6 +364,43 @@ def test_components_of_a_long_path(spark):
 # Sharding
 
 
+def test_one_of_each_finds_all_jaccard_pairs(spark, none):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (4, 6, 30, 120, 400):
+        for edits in (1, 2, 4, 8, 12):
+            base = r.choices(words, k=size)
+            texts.append(base)
+            for _ in range(4):
+                other = list(base)
+                for _ in range(edits):
+                    other[r.randrange(len(other))] = r.choice(words)
+                texts.append(other)
+    drift = r.choices(words, k=200)
+    for i in range(60):  # one large group of which no member is near to all others
+        drift = [*drift[3:], *r.choices(words, k=3)]
+        texts.append(drift)
+    rows = [(i, " ".join(t), "en", "s", 1, 1, "h", "s") for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            label[b] = a
+    wanted = {top(i) for i in range(len(texts))}
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {x["doc_id"] for x in shingles.one_of_each(frame).collect()} == wanted and len(wanted) < len(texts) - 60
+    assert len(simhash.one_of_each(frame).collect()) > len(wanted)  # 3 bits are narrower
+    assert shingles.one_of_each(none).count() == 0
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 24, 1000, 4097):
         assert sorted(sharding.permuted(np.arange(n), n).tolist()) == list(range(n))
