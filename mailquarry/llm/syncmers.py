@@ -9,19 +9,20 @@ from mailquarry.llm.ordering import with_next
 
 #: Tokens are runs without white space, cut after TOKEN characters; a k-mer is K tokens, an inner substring S.
 TOKEN, K, S = 8, 3, 1
-#: Hashes of a fingerprint: the smallest of the syncmers' distinct hashes.
-KEPT, HASH_BITS = 64, 40
+#: Bits of a hash in a fingerprint.
+HASH_BITS = 40
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
 
 
-def syncmers(hashes: Column) -> Column:
-    """Hashes of the closed syncmers of an array of token hashes.
+def placed_syncmers(hashes: Column) -> Column:
+    """(place, hash) of the closed syncmers of an array of token hashes.
 
     A k-mer is chosen if its least inner substring (of S tokens) is its first or last one. That depends on the k-mer
     alone, so an edit changes no choice outside of the k-mers that it touches. Fewer than K tokens are one k-mer.
+    place: the number of the k-mer's first token, from 0.
     """
     inner = hashes if S == 1 else F.transform(F.sequence(F.lit(0), F.size(hashes) - S), lambda i: F.xxhash64(F.slice(hashes, i + 1, S)))
     last = K - S
@@ -29,17 +30,22 @@ def syncmers(hashes: Column) -> Column:
     def chosen(i: Column) -> Column:
         edge = F.least(F.get(inner, i), F.get(inner, i + last))
         between = [F.get(inner, i + j) for j in range(1, last)]
-        return F.when(edge <= (F.least(*between) if len(between) > 1 else between[0]), F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]))
+        return F.when(edge <= (F.least(*between) if len(between) > 1 else between[0]), F.struct(i.cast("int").alias("place"), F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]).alias("hash")))
 
     many = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - K), chosen))
-    return F.when(F.size(hashes) >= K, many).when(F.size(hashes) > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hashes) >= K, many).when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(hashes).alias("hash")))).otherwise(F.array().cast("array<struct<place:int,hash:bigint>>"))
+
+
+def syncmers(hashes: Column) -> Column:
+    """Hashes of the closed syncmers of an array of token hashes, in order."""
+    return F.transform(placed_syncmers(hashes), lambda s: s["hash"])
 
 
 def sketched(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds an array of the KEPT least distinct syncmer hashes (HASH_BITS bits), ascending. Null texts count as empty."""
+    """Adds an array of all distinct syncmer hashes (HASH_BITS bits), ascending. Null texts count as empty."""
     hashed = df.withColumn("_hashes", F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)))
     cut_down = F.transform(syncmers(F.col("_hashes")), lambda h: F.shiftrightunsigned(h, 64 - HASH_BITS))
-    return hashed.withColumn(name, F.slice(F.sort_array(F.array_distinct(cut_down)), 1, KEPT)).drop("_hashes")
+    return hashed.withColumn(name, F.sort_array(F.array_distinct(cut_down))).drop("_hashes")
 
 
 def as_text(sketch: Column) -> Column:
@@ -48,9 +54,24 @@ def as_text(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the syncmer sets of two sketches: the share of common hashes among the least ones."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    return F.when(F.size(least) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(least, F.array_intersect(a, b))) / F.size(least))
+    """Jaccard likeness of two sets of syncmers; two empty sets are alike."""
+    both = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - both
+    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+
+
+def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, place, hash) of every syncmer of every row of docs; one pass, no shuffle. Hashes have all 64 bits."""
+    hashed = docs.select(F.col(key).alias("doc_id"), F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: F.xxhash64(t)).alias("_hashes"))
+    return hashed.select("doc_id", F.explode(placed_syncmers(F.col("_hashes"))).alias("s")).select("doc_id", "s.*")
+
+
+def matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(doc_id, place, other_id, other_place): every anchor of left that stands in right, with both places.
+
+    A shared passage shows as neighbouring places with one difference of place. Tables come from `anchors`.
+    """
+    return left.join(right.select(F.col("doc_id").alias("other_id"), F.col("place").alias("other_place"), "hash"), "hash").select("doc_id", "place", "other_id", "other_place")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,9 +87,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     come last. A table of one row is its own next; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(sketched(rows, "text", "sketch"), "doc_id", ["text"], ["text", "sketch"])
+    paired = with_next(rows, "doc_id", ["text"], ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
+    edited = sketched(sketched(paired, "text", "sketch"), "next_text", "next_sketch").withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
     both = sketched(edited, "edited", "edited_sketch")
     return both.select(
         "doc_id",

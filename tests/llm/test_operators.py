@@ -202,6 +202,19 @@ def test_syncmers_are_closed(spark):
     assert set(found) <= set(again)  # context-free: what stands around a k-mer changes nothing
 
 
+def test_short_passage_in_a_long_text_is_found(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
+    passage, long = [word() for _ in range(60)], [word() for _ in range(20_000)]
+    frame = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join([*long[:9_000], *passage, *long[9_000:]])), (3, " ".join(long))], "doc_id int, text string")
+    found = syncmers.anchors(frame).cache()
+    hits = syncmers.matches(found.where("doc_id = 1"), found.where("doc_id = 2")).where("other_place - place = 9000")
+    assert hits.count() == found.where("doc_id = 1").count() > 20
+    prints = {x["doc_id"]: x["fingerprint"] for x in syncmers.fingerprints(frame).collect()}
+    cut = lambda s: {s[i : i + 10] for i in range(0, len(s), 10)}
+    assert cut(prints[1]) <= cut(prints[2]) != cut(prints[3])
+
+
 def test_edited_pairs(spark, docs, hard, none, monkeypatch):
     monkeypatch.setattr(ordering.bounds_of, "__defaults__", (20, 4096))
     for frame in (docs, hard):
