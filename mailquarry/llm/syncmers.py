@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from mailquarry.llm.ordering import with_next
 
-#: Tokens are runs without white space, cut after TOKEN characters; a k-mer is K tokens, an inner substring S.
+#: Tokens are runs without white space of at most TOKEN characters, and of longer runs the TOKEN characters from each
+#: place, so that no cut depends on the distance from the start of a run. A k-mer is K tokens, an inner substring S.
 TOKEN, K, S = 8, 3, 1
 #: Bits of a hash in a fingerprint.
 HASH_BITS = 40
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?=(\S{{1,{TOKEN}}}))(?:(?<!\S)\S{{1,{TOKEN}}}(?!\S)|\S(?=\S{{{TOKEN - 1}}}))"), F.lit(1))
 
 
 def placed_syncmers(hashes: Column) -> Column:

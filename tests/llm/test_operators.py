@@ -202,6 +202,15 @@ def test_syncmers_are_closed(spark):
     assert set(found) <= set(again)  # context-free: what stands around a k-mer changes nothing
 
 
+def test_edit_in_a_long_run_is_local(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    run = "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(2000))
+    frame = syncmers.sketched(syncmers.sketched(spark.createDataFrame([(run, "x" + run), (run, run[:5] + run[6:])], "a string, b string"), "a", "s"), "b", "t")
+    assert all(x["l"] > 0.97 for x in frame.select(syncmers.likeness(F.col("s"), F.col("t")).alias("l")).collect())
+
+
 def test_short_passage_in_a_long_text_is_found(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 7)))
