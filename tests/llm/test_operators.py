@@ -423,6 +423,12 @@ def test_one_of_each_finds_all_jaccard_pairs(spark, none):
     assert shingles.one_of_each(none).count() == 0
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    rows = [(1, "alpha beta gamma delta omega"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "alpha beta gamma delta omega"), (3, "quite another text of words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, shingles.one_of_each(frame).collect())) == sorted({rows[0], rows[1], rows[4]})
+
+
 def test_permutation():
     for n in (1, 2, 3, 10, 24, 1000, 4097):
         assert sorted(sharding.permuted(np.arange(n), n).tolist()) == list(range(n))
