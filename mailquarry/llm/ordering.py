@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,13 @@ def range_of(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(found, F.lit(0))
 
 
-def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str]) -> DataFrame:
+def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str], dealt_with: Callable[[DataFrame], DataFrame] = lambda dealt: dealt) -> DataFrame:
     """Adds next_<c> for each carried column: its value in the next row in descending order; the last row gets the first's.
 
     The table is cut into ranges of the order column. Each range also gets a copy of the row that follows it (the first
     of the next range below; after the last range the first of all), so one shuffle by range suffices and no task sees
-    more than a range. Rows are ordered by (order desc nulls last, ties).
+    more than a range. Rows are ordered by (order desc nulls last, ties). dealt_with may add columns, carried ones too,
+    to rows that have been shuffled.
     """
     stats = df.agg(F.count("*")).first()[0]
     bounds = bounds_of(df.select(order), order, stats)
@@ -76,7 +79,8 @@ def with_next(df: DataFrame, order: str, ties: list[str], carried: list[str]) ->
     above = F.get(F.array(*[F.lit(t) for t in above_of]), F.col("_range"))
     here = F.struct(F.col("_range").alias("_at"), F.lit(False).alias("_copy"))
     target = F.when(F.col(order).eqNullSafe(top), F.array(here, F.struct(above.alias("_at"), F.lit(True).alias("_copy")))).otherwise(F.array(here))
-    dealt = by_range.withColumn("_to", F.explode(target))
-    span = Window.partitionBy("_to._at").orderBy(F.col("_to._copy"), F.desc_nulls_last(order), *ties)
-    led = dealt.select("*", *[F.lead(c).over(span).alias(f"next_{c}") for c in carried])
-    return led.where(~F.col("_to._copy")).drop("_to", "_range")
+    line = [F.col("_copy"), F.desc_nulls_last(order), *map(F.col, ties)]
+    dealt = by_range.select("*", F.explode(target).alias("_to")).select(*df.columns, "_to.*").repartition("_at").sortWithinPartitions("_at", *line)
+    span = Window.partitionBy("_at").orderBy(*line)
+    led = dealt_with(dealt).select("*", *[F.lead(c).over(span).alias(f"next_{c}") for c in carried])
+    return led.where(~F.col("_copy")).drop("_at", "_copy")

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.ordering import with_next
 
-#: Tokens are runs without white space of at most TOKEN characters, and of longer runs the TOKEN characters from each
-#: place, so that no cut depends on the distance from the start of a run. A k-mer is K tokens, an inner substring S.
-TOKEN, K, S = 8, 3, 1
+#: A k-mer is K tokens, an inner substring S.
+K, S = 5, 2
+#: Characters of a token; only where so many in a row start none does a cut depend on the one before.
+LONGEST = 32
+#: A token starts at every code point of this class, wherever it stands: Latin-1 code points divisible by 6, parts of the
+#: alphabets from U+0380 on by stripes of 8 in 64, and each character from U+1200 on (scripts without blanks among them).
+_LATIN = "".join(f"\\x{c:02x}" for c in range(0x20, 0x100) if c % 6 == 0)
+_STRIPES = "".join(f"\\u{c:04x}-\\u{c + 7:04x}" for c in range(0x380, 0x1200, 64))
+STARTS = f"(?:[{_LATIN}]|(?![\\x00-\\xff])[{_STRIPES}\\u1200-\\x{{10ffff}}])"
 #: Bits of a hash in a fingerprint.
 HASH_BITS = 40
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?=(\S{{1,{TOKEN}}}))(?:(?<!\S)\S{{1,{TOKEN}}}(?!\S)|\S(?=\S{{{TOKEN - 1}}}))"), F.lit(1))
+    """The text cut before each code point of STARTS: cuts depend on the character alone, with or without blanks."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).(?:(?!{STARTS}).){{0,{LONGEST - 1}}}"), F.lit(0))
 
 
 def placed_syncmers(hashes: Column) -> Column:
@@ -25,16 +34,22 @@ def placed_syncmers(hashes: Column) -> Column:
     alone, so an edit changes no choice outside of the k-mers that it touches. Fewer than K tokens are one k-mer.
     place: the number of the k-mer's first token, from 0.
     """
-    inner = hashes if S == 1 else F.transform(F.sequence(F.lit(0), F.size(hashes) - S), lambda i: F.xxhash64(F.slice(hashes, i + 1, S)))
+    pairs = lambda h: F.zip_with(h, F.slice(h, S, F.size(h)), lambda a, b: F.xxhash64(a, b))
     last = K - S
 
-    def chosen(i: Column) -> Column:
-        edge = F.least(F.get(inner, i), F.get(inner, i + last))
-        between = [F.get(inner, i + j) for j in range(1, last)]
-        return F.when(edge <= (F.least(*between) if len(between) > 1 else between[0]), F.struct(i.cast("int").alias("place"), F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]).alias("hash")))
+    def chosen(inner: Column, i: Column) -> Column:
+        return F.least(F.get(inner, i), F.get(inner, i + last)) <= F.least(*[F.get(inner, i + j) for j in range(1, last)])
+
+    def placed(h: Column) -> Column:
+        starts = _let(pairs(h), lambda inner: F.filter(F.sequence(F.lit(0), F.size(h) - K), lambda i: chosen(inner, i)))
+        return F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(h, i + j) for j in range(K)]).alias("hash")))
+
+    return F.when(F.size(hashes) >= K, placed(hashes)).when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(hashes).alias("hash")))).otherwise(F.array().cast("array<struct<place:int,hash:bigint>>"))
+
 
-    many = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - K), chosen))
-    return F.when(F.size(hashes) >= K, many).when(F.size(hashes) > 0, F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(hashes).alias("hash")))).otherwise(F.array().cast("array<struct<place:int,hash:bigint>>"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def syncmers(hashes: Column) -> Column:
@@ -56,9 +71,8 @@ def as_text(sketch: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of two sets of syncmers; two empty sets are alike."""
-    both = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - both
-    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+    share = lambda both: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    return _let(F.size(F.array_intersect(a, b)), share)
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,12 +99,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     Edited: the last floor(n_chars / 2) code points are replaced by the first as many (or all) of the text of the next
     row in descending doc_id (repeated ids by text; after the last row the first). Null texts count as empty, null ids
-    come last. A table of one row is its own next; an empty table gives no rows. Other columns are not read.
+    come last. A table of one row is its own next; an empty table gives no rows. Other columns are not read. Texts are
+    shuffled once, by ranges of doc_id, and sketched where they then lie, so that a row's neighbour brings its sketch.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(rows, "doc_id", ["text"], ["text"])
+    paired = with_next(rows, "doc_id", ["text"], ["text", "sketch"], lambda dealt: sketched(dealt, "text", "sketch"))
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = sketched(sketched(paired, "text", "sketch"), "next_text", "next_sketch").withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
+    edited = paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("text", "next_text")
     both = sketched(edited, "edited", "edited_sketch")
     return both.select(
         "doc_id",
