@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,7 +145,7 @@ def test_block_max_index_is_exact():
     for _ in range(700):
         terms = np.sort(r.choice(40, r.integers(1, 6), replace=False))
         w = np.round(r.random(terms.size), 1) + 0.1
-        vectors.append((tuple(terms.tolist()), w / np.sqrt((w**2).sum())))
+        vectors.append((terms, w / np.sqrt((w**2).sum())))
     dense = np.zeros((700, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, list(t)] = w
@@ -158,6 +159,41 @@ def test_block_max_index_is_exact():
         assert [j for _, j in got] == [j for _, j in wanted] and np.allclose([c for c, _ in got], [c for c, _ in wanted])
 
 
+def test_toxicity_by_brute_force(spark, docs):
+    """Score and evidence of every text from plain counts over all examples, without the index."""
+    labels = table(spark, SF, "labels")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = toxicity.fit(docs, labels)
+    ids = [int(i) for i in model.ids]
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    counts = [words(texts[i]) for i in ids]
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    n1, n0 = sum(toxic[i] for i in ids), sum(1 - toxic[i] for i in ids)
+    weight = {}
+    for t in set().union(*counts):
+        df, a = sum(t in c for c in counts), sum(toxic[i] for i, c in zip(ids, counts) if t in c)
+        p, q = a + 0.5, df - a + 0.5
+        odds = abs(np.log(p / (n1 + 1 - p)) - np.log(q / (n0 + 1 - q))) - 1.96 * np.sqrt(1 / p + 1 / q + 1 / (n1 + 1 - p) + 1 / (n0 + 1 - q))
+        weight[t] = np.log((1 + len(ids)) / (1 + df)) * (toxicity.FLAT + max(0, odds))
+
+    def unit(c):
+        v = {t: weight[t] * (1 + np.log(n)) for t, n in c.items() if weight.get(t, 0) > 0}
+        size = np.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [unit(c) for c in counts]
+    found = toxicity.score(docs, model).collect()
+    assert len(found) == len(texts) and sum(bool(r["evidence"]) for r in found) > 0.95 * sum(bool(words(t)) for t in texts.values())
+    for r in found:
+        own = unit(words(texts[r["doc_id"]]))
+        near = sorted([(-round(sum(x * v.get(t, 0) for t, x in own.items()), 10), i) for i, v in zip(ids, vectors)])[:15]
+        near = [(-c, i) for c, i in near if c < 0]
+        assert len(r["evidence"]) == min(3, len(near)) and np.allclose([e["cosine"] for e in r["evidence"]], [c for c, _ in near[:3]])
+        assert all(e["toxic"] == toxic[e["doc_id"]] for e in r["evidence"])
+        raw = (sum(c for c, i in near if toxic[i]) + model.no_evidence / 2) / (sum(c for c, _ in near) + 0.5)
+        assert abs(r["score"] - (np.interp(raw, *model.steps) if near else model.no_evidence)) < 1e-6
+
+
 def test_toxicity_held_out(spark):
     big = "/root/testdata/sf0.01"
     labels = table(spark, big, "labels")
