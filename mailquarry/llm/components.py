@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mailquarry.llm.common import cut
 
 
+#: Edges for each task, and the least number of tasks: a small graph is not dealt to more tasks than it needs.
+TASK_EDGES, LEAST_TASKS = 100_000, 8
+
+
 def _least(pairs: DataFrame) -> DataFrame:
     """(node, low): the least of each node and its neighbours."""
     return pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -25,16 +29,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     kind = edges.schema["a"].dataType
     now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
+    tasks = LEAST_TASKS + now.count() // TASK_EDGES
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        small = _least(large)
-        pulled = large.join(small, "a")
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
+        large = both.join(_least(both).coalesce(tasks), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+        pulled = large.join(_least(large).coalesce(tasks), "a").coalesce(tasks)
         now = cut(
             pulled.select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(pulled.select("a", F.col("low").alias("b")))
             .where("a <> b")
+            .coalesce(tasks)
             .distinct()
+            .coalesce(tasks)
         )
         was, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == was or not state[0]:
