@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mailquarry.functions.stem import stem
+from mailquarry.operators.query import found_by, scored
 
 # Words that the index leaves out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
-#: Most hits of one query, by score.
+#: Hits of one query, by score, unless a caller asks for another number.
 MOST_HITS = 10_000
 
 
@@ -42,31 +43,13 @@ def term_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def holding(found: DataFrame, query: str, key: str = "doc_id") -> DataFrame:
-    """Keys of documents for a query: words (any), +word (all), -word (none), "a phrase"; parts are united like words.
+    """Keys of the documents that a query finds (see `query.parsed` for its language); found: postings."""
+    return found_by(found, query, frozenset(STOP_WORDS), key).select(key)
 
-    Only postings of the query's terms are read; each document is judged by one aggregate over them.
-    """
-    phrases = [re.findall(r"\w+", p.lower()) for p in re.findall(r'"([^"]+)"', query)]
-    rest = re.sub(r'"[^"]+"', " ", query).replace("|", " ").lower().split()
-    must, never = [w[1:] for w in rest if w.startswith("+")], [w[1:] for w in rest if w.startswith("-")]
-    some = [w for w in rest if w[0] not in "+-"]
-    hits = None
-    if some or must or (never and not phrases):
-        rows = found.where(F.col("term").isin(some + must + never)).groupBy(key)
-        has = {w: F.max((F.col("term") == w).cast("int")) for w in {*some, *must, *never}}
-        test = F.lit(True)
-        for w in must:
-            test = test & (has[w] == 1)
-        for w in never:
-            test = test & (has[w] == 0)
-        if some and not must:
-            test = test & (F.greatest(*[has[w] for w in some], F.lit(0)) == 1)
-        hits = rows.agg(test.alias("ok")).where("ok").select(key)
-    for p in phrases:
-        by_start = found.where(F.col("term").isin(p)).select(key, F.explode(F.array_compact(F.array(*[F.when(F.col("term") == w, F.col("pos") - i) for i, w in enumerate(p)]))).alias("start"), "term", "pos")
-        exact = by_start.groupBy(key, "start").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == len(p)).select(key).distinct()
-        hits = exact if hits is None else hits.union(exact).distinct()
-    return hits
+
+def best(found: DataFrame, query: str, n_docs: int, most: int = MOST_HITS, key: str = "doc_id") -> DataFrame:
+    """(key, score) of the `most` best documents for a query, best first."""
+    return scored(found_by(found, query, frozenset(STOP_WORDS), key), n_docs, key, most)
 
 
 def token_regex(found: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:

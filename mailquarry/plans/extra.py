@@ -116,9 +116,9 @@ def letters_and_longest(spark, sf_dir):
     return document_messages(spark, sf_dir).select("doc_id", T.letters(F.col("body")).alias("n_letters"), T.longest_word(F.col("body")).alias("longest"))
 
 
-@query("select page_id, replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as html from pages", "")
+@query("select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as html from pages", "")
 def escaped_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.escaped_html(F.substring("html", 1, 200)).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", T.escaped_html(F.col("html")).alias("html"))
 
 
 @query("select page_id, regexp_extract(url, '([^/]*)$', 1) as tail, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') as safe from pages", "")

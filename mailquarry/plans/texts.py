@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailquarry.functions import text as T
 from mailquarry.operators import entities, export, fulltext, people
+from mailquarry.operators.query import field_postings
 from mailquarry.sources.archive import DOCUMENT_SQL, document_messages, table
 from mailquarry.sources.files import html_text
 
@@ -48,6 +49,43 @@ def fulltext_phrase(spark, sf_dir):
     return fulltext.holding(_postings(spark, sf_dir), '"de la"')
 
 
+@query("select distinct a.doc_id from po a join po b on a.doc_id = b.doc_id and b.pos = a.pos + 3 where a.term = 'er' and b.term = 'er'", tokens=True)
+def fulltext_phrase_with_stop_words(spark, sf_dir):
+    return fulltext.holding(_postings(spark, sf_dir), '"er of the er"')
+
+
+@query("ph as (select distinct a.doc_id from po a join po b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'de' and b.term = 'la') select distinct doc_id from po where term = 're' and doc_id in (select doc_id from ph)", tokens=True)
+def fulltext_word_and_phrase(spark, sf_dir):
+    return fulltext.holding(_postings(spark, sf_dir), '+re +"de la"')
+
+
+@query("ph as (select distinct a.doc_id from po a join po b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'de' and b.term = 'la') select doc_id from ph where doc_id not in (select doc_id from po where term = 'eau')", tokens=True)
+def fulltext_phrase_without_word(spark, sf_dir):
+    return fulltext.holding(_postings(spark, sf_dir), '-eau "de la"')
+
+
+@query("select doc_id from po group by doc_id having (bool_or(term = 'ther') or bool_or(term = 'eau')) and bool_or(term = 're') and not bool_or(term = 'from')", tokens=True)
+def fulltext_boolean(spark, sf_dir):
+    return fulltext.holding(_postings(spark, sf_dir), "(ther OR eau) AND re AND NOT from")
+
+
+@query("select distinct doc_id from po where regexp_full_match(term, 'heed.*') or regexp_full_match(term, 'ou.a')", tokens=True)
+def fulltext_wildcards(spark, sf_dir):
+    return fulltext.holding(_postings(spark, sf_dir), "heed* ou?a")
+
+
+@query("select distinct doc_id from po where term = 're' and doc_id in (select doc_id from docs where list_contains(regexp_extract_all(regexp_replace(lower(subject), '[''’]s\\b', '', 'g'), '[\\p{L}\\p{N}]+'), 'ther'))".replace("\\\\", "\\"), tokens=True)
+def fulltext_fields(spark, sf_dir):
+    found = field_postings(document_messages(spark, sf_dir), {"subject": "subject", "body": "body"}, fulltext.postings)
+    return fulltext.holding(found, "+subject:ther +body:re")
+
+
+@query("h as (select doc_id, count(*) filter (where term = 'heed') as a, count(*) filter (where term = 'ther') as b, count(*) filter (where term = 're') as c from po where term in ('heed', 'ther', 're') group by 1), n as (select (select count(*) from docs) as n, count(*) filter (where a > 0) as a, count(*) filter (where b > 0) as b, count(*) filter (where c > 0) as c from h) select doc_id, round(sqrt(h.a) * pow(1 + ln(n.n / (n.a + 1.0)), 2) + sqrt(h.b) * pow(1 + ln(n.n / (n.b + 1.0)), 2) + sqrt(h.c) * pow(1 + ln(n.n / (n.c + 1.0)), 2), 6) as score from h, n order by score desc, doc_id limit 25", tokens=True)
+def fulltext_best(spark, sf_dir):
+    messages = document_messages(spark, sf_dir)
+    return fulltext.best(_postings(spark, sf_dir), "heed ther re", messages.count(), 25)
+
+
 @query("select distinct doc_id from po where regexp_full_match(term, 'th.*tion')", tokens=True)
 def token_regex(spark, sf_dir):
     return fulltext.token_regex(_postings(spark, sf_dir), "th.*tion")
@@ -229,25 +267,25 @@ def entity_freq(spark, sf_dir):
     return entities.frequencies(_capital_words(spark, sf_dir))
 
 
-CO = f"{SINGLE}, df as (select entity, count(*) as df from en group by 1 having count(*) between 3 and 60), ok as (select doc_id, entity from en join df using (entity)), co as (select a.entity as a, b.entity as b, count(*) as n from ok a join ok b using (doc_id) where a.entity < b.entity group by 1, 2)"
+CO = f"{SINGLE}, df as (select entity, count(*) as df from en group by 1 having count(*) >= 3), ok as (select doc_id, entity from en join df using (entity)), co as (select a.entity as a, b.entity as b, count(*) as n from ok a join ok b using (doc_id) where a.entity < b.entity group by 1, 2)"
 
 
 @query(f"{CO} select a, b, n from co")
 def entity_cooccurrence(spark, sf_dir):
-    return entities.cooccurrences(_capital_words(spark, sf_dir), 3, 60)
+    return entities.cooccurrences(_capital_words(spark, sf_dir), 3)
 
 
 @query(f"{CO}, bo as (select a, b, n from co union all select b, a, n from co), nr as (select a, sqrt(sum(n * n)) as norm from bo group by 1), sc as (select bo.a as entity, bo.b as other, round(n * (df / (select sum(df) from df)::double) / norm, 9) as score from bo join nr using (a) join df on df.entity = bo.b) select entity, other, score, rank from (select *, row_number() over (partition by entity order by score desc, other)::int as rank from sc) where rank <= 3")
 def entity_closest(spark, sf_dir):
     found = _capital_words(spark, sf_dir)
-    counts = entities.frequencies(found).where("n_docs between 3 and 60")
+    counts = entities.frequencies(found).where("n_docs >= 3")
     prior = counts.crossJoin(F.broadcast(counts.agg(F.sum("n_docs").alias("_all")))).select("entity", (F.col("n_docs") / F.col("_all")).alias("prior"))
-    return entities.closest(entities.cooccurrences(found, 3, 60), prior)
+    return entities.closest(entities.cooccurrences(found, 3), prior)
 
 
 @query(None)
 def entity_ranking(spark, sf_dir):
-    return entities.ranked(entities.cooccurrences(_capital_words(spark, sf_dir), 3, 60))
+    return entities.ranked(entities.cooccurrences(_capital_words(spark, sf_dir), 3))
 
 
 INFOS = f"{SINGLE}, nf as (select folder as archive, entity, count(*) as n_docs from en join docs using (doc_id) group by 1, 2)"
@@ -273,10 +311,10 @@ def autocomplete(spark, sf_dir):
     return entities.autocomplete(_infos(spark, sf_dir), "ation")
 
 
-@query("pg as (select term, round(sum(tf), 0)::double as page_score from (select term, count(*) as tf from po where doc_id < 20 and term in ('from', 'ther', 'dans', 'ou') group by doc_id, term) group by 1), ht as (select term, count(distinct doc_id) as n from po group by 1) select term, page_score * n * (case when term = 'from' then 2.0 else 1.0 end) as score from pg join ht using (term)", tokens=True)
+@query("pg as (select term, round(sum(tf), 0)::double as page_score from (select term, count(*) as tf from po where term in ('from', 'ther', 'dans', 'ou') group by doc_id, term) group by 1), ht as (select term, count(distinct doc_id) as n from po group by 1) select term, page_score * n * (case when term = 'from' then 2.0 else 1.0 end) as score from pg join ht using (term)", tokens=True)
 def lens_score(spark, sf_dir):
     found = _postings(spark, sf_dir)
-    pages = found.where((F.col("doc_id") < 20) & F.col("term").isin("from", "ther", "dans", "ou")).groupBy("term").agg(F.count("*").cast("double").alias("page_score"))
+    pages = found.where(F.col("term").isin("from", "ther", "dans", "ou")).groupBy("term").agg(F.count("*").cast("double").alias("page_score"))
     hits = found.groupBy("term").agg(F.countDistinct("doc_id").alias("n"))
     none = spark.createDataFrame([], "term string, n long")
     return fulltext.lens(pages, hits, none, spark.createDataFrame([("from", 2.0)], "term string, boost double"))

@@ -3,9 +3,11 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from mailquarry.operators.query import field_postings
 from mailquarry.operators import dedup, entities, fulltext, groups, search, timeline
 from mailquarry.streaming import windows
 
@@ -65,6 +67,21 @@ def test_phrases_need_neighbours(spark):
     assert hits('"deep blue"') == [1] and hits("+deep -sea") == [3] and hits("sea|nothing") == [1, 2]
 
 
+def test_query_language(spark):
+    rows = spark.createDataFrame([(1, "state of the art work"), (2, "re de la eau"), (3, "de la mer"), (4, "re alone here"), (5, "art of state"), (6, None), (7, "")], "doc_id int, body string")
+    found = fulltext.postings(rows, "body")
+    hits = lambda q: sorted(r["doc_id"] for r in fulltext.holding(found, q).collect())
+    assert hits('"state of the art"') == [1] and hits('"state art"') == [] and hits('"the state"') == [1, 5]
+    assert hits('+re "de la"') == [2, 4] and hits('+re +"de la"') == [2] and hits('-eau "de la"') == [3]
+    assert hits("(re OR mer) AND NOT eau") == [3, 4] and hits("re AND la") == [2] and hits("NOT re") == [] and hits("") == [] and hits("the") == []
+    assert hits("al?ne OR m*r") == [3, 4] and hits("(re") == [2, 4] and hits("re)") == [2, 4] and hits('"') == []
+    fields = field_postings(rows.withColumn("subject", F.lit("mer")), {"subject": "subject", "body": "body"}, fulltext.postings)
+    named = lambda q: sorted(r["doc_id"] for r in fulltext.holding(fields, q).collect())
+    assert named("+subject:mer +body:re") == [2, 4] and named("body:mer") == [3] and named("other:mer") == []
+    best = fulltext.best(found, "re la mer", 7, 2).collect()
+    assert [r["doc_id"] for r in best] == [3, 2] and best[0]["score"] > best[1]["score"] and fulltext.best(found, "zzz", 7).count() == 0
+
+
 def test_late_events_are_left_out(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
     batches = [[(1, datetime(2024, 1, 1), 1, "a", 0.0), (2, datetime(2024, 1, 10), 1, "a", 0.0)], [(3, datetime(2024, 1, 1), 1, "a", 0.0), (4, datetime(2024, 1, 20), 1, "b", 0.0)], [(5, datetime(2024, 2, 20), 1, "b", 0.0)]]
