@@ -173,12 +173,30 @@ def _day(v: Column) -> Column:
     return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
 
 
+def _days_of_months(v: Column, key: str) -> Column:
+    """A date written month first that cannot be read day first (its day is over 12): permuted among such dates only, so
+    that no other notation has its pseudonym. Days 13 to 28 are a grid with all months of the range; days 29 and 30
+    outside of February, the 31sts and the leap days are permuted apart."""
+    day = F.to_date(v, "MM/dd/yyyy")
+    d, m, y = F.dayofmonth(day), F.month(day), F.year(day) - int(FIRST_DAY[:4])
+    long_months = F.array(*[F.lit(x) for x in (1, 3, 5, 7, 8, 10, 12)])
+    leap_years = F.array(*[F.lit(x) for x in range(400) if x % 4 == 0 and (x + 1800) % 100 or (x + 1800) % 400 == 0])
+    shown = lambda year, month, d: F.concat_ws("/", F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(d.cast("int").cast("string"), 2, "0"), (year + int(FIRST_DAY[:4])).cast("int").cast("string"))
+    grid = _let(_pair(y * 12 + m - 1, d - 13, 4800, 16, key, "day13"), lambda p: shown(F.floor(p["a"] / 12), p["a"] % 12 + 1, p["b"] + 13))
+    other = lambda r: F.when(r == 0, 1).otherwise(r + 2)
+    late = _let(_pair(y * 11 + F.when(m > 2, m - 2).otherwise(0), d - 29, 4400, 2, key, "day29"), lambda p: shown(F.floor(p["a"] / 11), other(p["a"] % 11), p["b"] + 29))
+    last = _let(_pair(y, F.array_position(long_months, m) - 1, 400, 7, key, "day31"), lambda p: shown(p["a"], F.get(long_months, p["b"].cast("int")), F.lit(31)))
+    leap = _let(_pair(F.array_position(leap_years, y) - 1, F.lit(0), 97, 1, key, "leap"), lambda p: shown(F.get(leap_years, p["a"].cast("int")), F.lit(2), F.lit(29)))
+    return F.when(d <= 28, grid).when(d == 31, last).when(m == 2, leap).otherwise(late)
+
+
 def _date(v: Column, key: str) -> Column:
+    """A day of the range for a day of the range; what reads day first or month first only is permuted apart."""
     day = _day(v)
-    american = F.try_to_date(v, "dd/MM/yyyy").isNull()
-    shown = lambda new: F.when(v.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(v.contains("."), F.date_format(new, "dd.MM.yyyy")).when(american, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    shown = lambda new: F.when(v.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(v.contains("."), F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
     pair = _pair(F.floor(day / DAY_COLUMNS), day % DAY_COLUMNS, DAY_ROWS, DAY_COLUMNS, key, "date")
-    return _let(_let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAY_COLUMNS + p["b"]).cast("int"))), shown)
+    of_day = _let(_let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAY_COLUMNS + p["b"]).cast("int"))), shown)
+    return F.when(v.contains("/") & F.try_to_date(v, "dd/MM/yyyy").isNull(), _days_of_months(v, key)).otherwise(of_day)
 
 
 def kind_of(v: Column) -> Column:
@@ -216,6 +234,19 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     )
 
 
+def _running(numbers: Column, chunk: int = 64) -> Column:
+    """Running sums of an array: sums of whole chunks, and of the rest of a chunk, so no element is added often."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
+
+    def summed(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / chunk).cast("int")), lambda c: total(F.slice(x, c * chunk + 1, F.lit(chunk))))
+        before = lambda s: F.transform(s, lambda _, c: total(F.slice(s, F.lit(1), c)))
+        place = lambda firsts: F.transform(x, lambda _, i: F.get(firsts, F.floor(i / chunk).cast("int")) + total(F.slice(x, F.floor(i / chunk).cast("int") * chunk + 1, i % chunk + 1)))
+        return _let(_let(chunks, before), place)
+
+    return _let(numbers, summed)
+
+
 def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """docs with personal data in a text column replaced, and `pii`: array of (kind, start, original_sha, pseudonym).
 
@@ -237,8 +268,8 @@ def pseudonymised(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     new = kinds.withColumn("_new", F.transform(F.arrays_zip("_spans", "_kinds"), lambda s: pseudonym(s["_spans"], s["_kinds"], key)))
     joined = F.concat(F.array_join(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_spans")), "_new", lambda g, n: F.concat(g, n)), ""), F.element_at("_gaps", -1))
     lengths = F.zip_with(F.slice("_gaps", F.lit(1), F.size("_spans")), "_spans", lambda g, s: F.length(g) + F.length(s))
-    starts = F.transform("_spans", lambda s, i: F.aggregate(F.slice("_lengths", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) - F.length(s))
+    starts = F.zip_with("_ends", "_spans", lambda end, s: end - F.length(s))
     listed = F.filter(F.zip_with(F.arrays_zip(F.col("_kinds").alias("k"), F.col("_new").alias("n"), F.col("_spans").alias("s")), starts, lambda x, at: F.struct(x["k"].alias("kind"), at.alias("start"), F.sha2(x["s"], 256).alias("original_sha"), x["n"].alias("pseudonym"))), lambda x: x["kind"].isNotNull())
-    out = new.withColumn("_lengths", F.when(found, lengths))
+    out = new.withColumn("_ends", F.when(found, _running(lengths)))
     kept = [F.when(found, joined).otherwise(F.col("row")[c]).alias(c) if c == column else F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "pii"]
     return out.select(*kept, F.when(found, listed).otherwise(F.array().cast("array<struct<kind:string,start:int,original_sha:string,pseudonym:string>>")).alias("pii"))

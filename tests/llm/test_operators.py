@@ -90,6 +90,30 @@ def test_pseudonyms_are_a_permutation(spark):
     assert ssn.select(pii.pseudonym(F.col("v"), F.lit("ssn"), "k").alias("p")).where(~F.col("p").rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")).count() == 0
 
 
+def test_pseudonyms_of_all_days_differ(spark):
+    """All days from 1800 to 2199 in every notation: valid days of the same notation, and no pseudonym stands for two."""
+    from pyspark.sql import functions as F
+
+    days = spark.range(189 * 773).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    shown = days.select(F.explode(F.array(*[F.date_format("d", x) for x in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy")])).alias("v")).distinct()
+    out = shown.select("v", pii.pseudonym(F.col("v"), pii.kind_of(F.col("v")), "k").alias("p")).cache()
+    assert out.select("p").distinct().count() == out.count()
+    assert out.where(F.coalesce(F.try_to_date("p", "yyyy-MM-dd"), F.try_to_date("p", "dd/MM/yyyy"), F.try_to_date("p", "MM/dd/yyyy"), F.try_to_date("p", "dd.MM.yyyy")).isNull()).count() == 0
+    assert out.where("regexp_replace(p, '[0-9]', '0') <> regexp_replace(v, '[0-9]', '0')").count() == 0
+
+
+def test_pseudonyms_of_many_values_and_hard_texts(spark, hard, none):
+    values = [f"a{i}@x{i}.example.org" for i in range(3000)]
+    row = pii.pseudonymised(spark.createDataFrame([(1, " und ".join(values))], "doc_id int, text string"), "k").first()
+    at = 0
+    assert len(row["pii"]) == 3000
+    for v, x in zip(values, row["pii"]):
+        assert x["start"] == at and row["text"][at:].startswith(x["pseudonym"])
+        at += len(v) + 5
+    assert pii.pseudonymised(none, "k").count() == 0 and pii.pseudonymised(hard, "k").count() == hard.count()
+    assert sorted(r["text"] or "" for r in pii.pseudonymised(hard, "k").collect()) == sorted(r["text"] or "" for r in hard.collect())
+
+
 # Chat
 
 
@@ -574,6 +598,29 @@ def test_notices(spark, hard, none):
     assert license.notices(none).count() == 0 and license.notices(hard).count() == 0
 
 
+def test_notices_in_running_text(spark):
+    """Every wording is found inside a line, wrapped within a paragraph, as a comment, and with a tenth of its words changed."""
+    r = random.Random(12)
+    rows, wanted = [], {}
+    for name, wordings in license.TEMPLATES.items():
+        for i, w in enumerate(wordings):
+            words = w.split()
+            edited = list(words)
+            for _ in range(len(words) // 10):
+                edited[r.randrange(1, len(words) - 1)] = r.choice(["quite", "some", "other"])
+            half = len(words) // 2
+            shapes = [f"Copyright 2020 Foo Bar Inc. {w} All rights reserved.", "and so on\n" + " ".join(words[:half]) + "\n" + " ".join(words[half:]) + "\nmore follows here", "/*\n * " + " ".join(words[:half]) + "\n * " + " ".join(words[half:]) + "\n */ int main", "before it " + " ".join(edited) + " after it"]
+            for t in shapes:
+                wanted[len(rows)] = (name, i)
+                rows.append((len(rows), t))
+    rows.append((-1, "x\n// SPDX-License-Identifier: Apache-2.0\ny"))
+    found = license.notices(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    got = {(x["doc_id"], x["licence"], x["wording"]) for x in found if x["unit"] == "window"}
+    missed = [d for d, (n, i) in wanted.items() if (d, n, i) not in got]
+    assert len(missed) <= 0.05 * len(wanted) and not [d for d in missed if d % 4 < 3]
+    assert [x["licence"] for x in found if x["unit"] == "spdx"] == ["Apache-2.0"]
+
+
 def test_size_bounds_and_telling_words_lose_nothing():
     r = random.Random(9)
     for wordings in license.TEMPLATES.values():
