@@ -13,16 +13,19 @@ INNER_WORDS = ["of", "the", "and", "for", "de", "la", "von", "van", "du"]
 
 
 def capitalised(text: Column) -> Column:
-    """Runs of capitalised words, with small joining words inside only, that do not just start a sentence."""
+    """Runs of capitalised words, with small joining words inside only. A single word that stands first in a sentence or
+    line counts only if it is all in capitals: there the capital says nothing."""
     inner = "|".join(INNER_WORDS)
-    run = rf"(?<![\p{{L}}\p{{N}}])(\p{{Lu}}[\p{{L}}'’-]*(?:[ ](?:(?:{inner})[ ])*\p{{Lu}}[\p{{L}}'’-]*)*)"
-    return F.filter(F.regexp_extract_all(text, F.lit(run), F.lit(1)), lambda e: (F.length(e) > 2) | (e == F.upper(e)))
+    word, joined = r"\p{Lu}[\p{L}'’-]*", rf"[ ](?:(?:{inner})[ ])*"
+    first = r"(?<![\p{L}\p{N}])"
+    run = rf"{first}{word}(?:{joined}{word})+|(?<=[^.!?:\s][ \t]{{1,4}}|[(\[]){word}|{first}\p{{Lu}}{{2,}}(?![\p{{L}}\p{{N}}])"
+    return F.filter(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), lambda e: (F.length(e) > 2) | (e == F.upper(e)))
 
 
 def mentions(docs: DataFrame, field: str, key: str = "doc_id") -> DataFrame:
     """(doc_id, entity, display): each capitalised phrase of a document once, in lower case and as first written."""
-    rows = docs.select(key, F.explode(capitalised(F.col(field))).alias("display"))
-    return rows.groupBy(key, F.lower("display").alias("entity")).agg(F.min("display").alias("display"))
+    rows = docs.select(key, F.posexplode(capitalised(F.col(field))).alias("pos", "display"))
+    return rows.groupBy(key, F.lower("display").alias("entity")).agg(F.min_by("display", "pos").alias("display"))
 
 
 def frequencies(found: DataFrame, names: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
