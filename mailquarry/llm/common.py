@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Whole texts travel in these batches, so they are kept small.
 BATCH_ROWS = 512
+#: Bytes of one batch; a longer text is a batch of its own.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the memory that one batch of whole texts takes in a Python worker."""
+    """Bounds the memory that one batch of whole texts takes in a Python worker, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's `spark.checkpoint.dir`; only where that is unset (tests on one machine) a temporary one is made.
+    It is the cluster's `spark.checkpoint.dir`; only on one machine a temporary one is made where that is unset.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
