@@ -187,7 +187,6 @@ def greedy(groups: list[tuple[tuple[str, ...], float]], n: int, error: float = 0
                 options += [(*m, (a, b)) for m in moves(a, b)]
         _, _, new, value, gone = min(options, key=lambda o: (o[0], o[1], o[4]))
         for g in gone:
-            value += 0 if g not in now else 0
             now.pop(g)
         if new:
             now[new] = now.get(new, 0.0) + value
