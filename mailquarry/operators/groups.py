@@ -48,11 +48,24 @@ def utilities(groups: DataFrame, base: float = 1.4) -> DataFrame:
     return groups.select("group_id", "freq", (k * F.col("freq")).alias("linear"), (k * k * F.col("freq")).alias("square"), F.round(F.pow(F.lit(base), k) * F.col("freq"), 6).alias("exponential"))
 
 
-def containments(groups: DataFrame) -> DataFrame:
-    """(small, large) group ids where the members of small are a proper subset of large's."""
+def _ranked(groups: DataFrame) -> DataFrame:
+    """(group_id, k, contact, n): the members of each group with the number of groups that have them."""
     flat = groups.select("group_id", F.size("members").alias("k"), F.explode("members").alias("contact"))
-    small, large = flat.withColumnsRenamed({"group_id": "small", "k": "ks"}), flat.withColumnsRenamed({"group_id": "large", "k": "kl"})
-    return small.join(large, "contact").where("ks < kl").groupBy("small", "large", "ks").agg(F.count("*").alias("c")).where("c = ks").select("small", "large")
+    return flat.join(flat.groupBy("contact").agg(F.count("*").alias("n")), "contact")
+
+
+def containments(groups: DataFrame) -> DataFrame:
+    """(small, large) group ids where the members of small are a proper subset of large's.
+
+    A superset has the rarest member of its subset, so only groups that have it are compared with the whole of small.
+    """
+    ranked = _ranked(groups)
+    rarest = ranked.groupBy("group_id").agg(F.min(F.struct("n", "contact")).alias("m"))
+    small = groups.select(F.col("group_id").alias("small"), F.col("members").alias("ms")).join(rarest.select(F.col("group_id").alias("small"), F.col("m.contact").alias("contact")), "small")
+    large = ranked.select(F.col("group_id").alias("large"), F.col("k").alias("kl"), "contact")
+    met = small.join(large, "contact").where(F.size("ms") < F.col("kl"))
+    whole = groups.select(F.col("group_id").alias("large"), F.col("members").alias("ml"))
+    return met.join(whole, "large").where(F.size(F.array_except("ms", "ml")) == 0).select("small", "large")
 
 
 def subsumption(groups: DataFrame) -> DataFrame:
@@ -106,15 +119,24 @@ def statistics(groups: DataFrame) -> DataFrame:
 
 
 def similar_pairs(groups: DataFrame, least: float) -> DataFrame:
-    """(a, b, jaccard), a < b: groups of a Jaccard likeness of at least `least`, by an equi-join on members.
+    """(a, b, jaccard), a < b: groups of a Jaccard likeness of at least `least`.
 
-    Sizes that cannot reach it are left out before the join is counted.
+    With the members of each group in order of how few groups have them, two groups that are alike enough share one of
+    their first k - least * k + 1, so only those are joined. A pair is counted where the first of them meet, and only if
+    what follows in both can still reach the overlap that `least` asks for.
     """
-    flat = groups.select("group_id", F.size("members").alias("k"), F.explode("members").alias("contact"))
-    a, b = flat.withColumnsRenamed({"group_id": "a", "k": "ka"}), flat.withColumnsRenamed({"group_id": "b", "k": "kb"})
-    close = a.join(b, "contact").where((F.col("a") < F.col("b")) & (F.least("ka", "kb") >= least * F.greatest("ka", "kb")))
-    shared = close.groupBy("a", "b", "ka", "kb").agg(F.count("*").alias("c"))
-    return shared.withColumn("jaccard", F.col("c") / (F.col("ka") + F.col("kb") - F.col("c"))).where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    order = F.array_sort(F.collect_list(F.struct("n", "contact")))
+    sorted_members = _ranked(groups).groupBy("group_id", "k").agg(F.transform(order, lambda m: m["contact"]).alias("members"))
+    head = F.slice("members", 1, (F.col("k") - F.ceil(least * F.col("k") - 1e-9) + 1).cast("int"))
+    heads = sorted_members.select("group_id", "k", F.posexplode(head).alias("place", "contact"))
+    a, b = (heads.withColumnsRenamed({"group_id": x, "k": f"k{x}", "place": f"p{x}"}) for x in "ab")
+    left = F.least(F.col("ka") - F.col("pa"), F.col("kb") - F.col("pb"))
+    near = (F.least("ka", "kb") >= least * F.greatest("ka", "kb") - 1e-9) & (left >= least / (1 + least) * (F.col("ka") + F.col("kb")) - 1e-9)
+    met = a.join(b, "contact").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    ma, mb = (groups.select(F.col("group_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+    shared = met.join(ma, "a").join(mb, "b").withColumn("c", F.size(F.array_intersect("ma", "mb")))
+    jaccard = F.col("c") / (F.size("ma") + F.size("mb") - F.col("c"))
+    return shared.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def without_subsets(groups: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ def label_phrase(phrase: str, types: dict[str, dict[str, float]], exact: dict[st
 def recognised(docs: DataFrame, field: str, model: DataFrame, gazette: DataFrame | None = None, most_tokens: int = 200_000) -> DataFrame:
     """docs with `entities`: spans of the capitalised phrases that the model can type.
 
-    The type table goes to the workers if it has at most most_tokens rows; a larger model raises an error, and its rare
-    tokens are to be left out in training (`least`).
+    The type table and the gazette go to the workers if they have at most most_tokens rows each; a larger model or gazette
+    raises an error, and the model's rare tokens are to be left out in training (`least`).
     """
     table = type_table(model).limit(most_tokens + 1).collect()
     if len(table) > most_tokens:
@@ -104,7 +104,10 @@ def recognised(docs: DataFrame, field: str, model: DataFrame, gazette: DataFrame
     types: dict[str, dict[str, float]] = {}
     for r in table:
         types.setdefault(r["token"], {})[r["type"]] = r["p"]
-    exact = {r["title"].lower(): r["type"] for r in gazette.limit(most_tokens).collect()} if gazette is not None else {}
+    titles = gazette.limit(most_tokens + 1).collect() if gazette is not None else []
+    if len(titles) > most_tokens:
+        raise ValueError(f"the gazette has more than {most_tokens} titles")
+    exact = {r["title"].lower(): r["type"] for r in titles}
 
     @F.pandas_udf(SPANS)
     def label(texts: pd.Series) -> pd.Series:

@@ -30,11 +30,11 @@ def blob_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.attachments(order_archive(spark, sf_dir), search.Request(attachment_name="1.a; 7.R")).select("doc_id").distinct()
 
 
-@query("select doc_id, pos, filename from attachments where pos < 3 and (doc_id, pos) in (select (l_orderkey, l_linenumber) from lineitem where l_linestatus = 'F')")
+@query("select doc_id, pos, filename from attachments where (doc_id, pos) in (select (l_orderkey, l_linenumber) from lineitem where l_linestatus = 'F')")
 def blob_keywords(spark, sf_dir):
     a = order_archive(spark, sf_dir)
     keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("keyword"))
-    return curation.with_keywords(a.attachments.where("pos < 3"), keys, ["f"]).select("doc_id", "pos", "filename")
+    return curation.with_keywords(a.attachments, keys, ["f"]).select("doc_id", "pos", "filename")
 
 
 @query("select doc_id, count(*) as n, string_agg(filename, ',' order by filename) as names from attachments group by 1")
@@ -131,9 +131,9 @@ def ellipsized_subjects(spark, sf_dir):
     return document_messages(spark, sf_dir).select("doc_id", T.ellipsized(F.col("subject"), 30).alias("subject"))
 
 
-@query(r"select n_nationkey, array_to_string(list_sort(list_filter(string_split_regex(lower(n_name), '[\s,.;:-]+'), lambda w: w <> '')), ' ') as canonical, upper(left(n_name, 1)) || lower(substr(n_name, 2)) as shown from nation where not contains(n_name, ' ')", "")
+@query(r"select n_nationkey, array_to_string(list_sort(list_filter(string_split_regex(lower(n_name), '[\s,.;:-]+'), lambda w: w <> '')), ' ') as canonical, array_to_string(list_transform(string_split_regex(lower(n_name), '\s+'), lambda w: case when w in ('a', 'an', 'and', 'as', 'at', 'but', 'for', 'in', 'is', 'of', 'on', 'the', 'to', 'was', 'with') then w else upper(left(w, 1)) || substr(w, 2) end), ' ') as shown from nation", "")
 def canonical_names(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where(~F.col("n_name").contains(" "))
+    n = table(spark, sf_dir, "nation")
     return n.select("n_nationkey", T.canonical_entity(F.col("n_name")).alias("canonical"), T.title_cased(F.lower("n_name")).alias("shown"))
 
 

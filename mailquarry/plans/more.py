@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquarry.operators import clues, facets, groups, ner, people, search, timeline
-from mailquarry.plans.orders import BASKETS, TOP, _groups, _small_baskets
+from mailquarry.plans.orders import PAIRS, SETS, TOP, _basket_groups, _groups
 from mailquarry.plans.texts import LEX, TOKENS, _lexicon
 from mailquarry.sources.archive import DOCUMENT_SQL, ORDER_SQL, document_messages, event_messages, order_archive, table
 
@@ -94,14 +94,14 @@ def without_own(spark, sf_dir):
     return people.own_addresses(a.addrs, a.contacts)[1].groupBy("contact").agg(F.count("*").alias("n"))
 
 
-@query(f"{BASKETS}, d1 as (select array_to_string(members, ',') as g, members from wb where len(members) between 2 and 4), sm as (select a.g as a, b.g as b, len(list_intersect(a.members, b.members))::double / len(list_distinct(list_concat(a.members, b.members))) as j from d1 a, d1 b where a.g < b.g) select a, b, round(j, 6) as jaccard from sm where j >= 0.5")
+@query(f"{SETS}, sm as (select x.g as a, y.g as b, count(*)::double / (x.k + y.k - count(*)) as j from el x join el y using (c) where x.g < y.g group by x.g, y.g, x.k, y.k) select a, b, round(j, 6) as jaccard from sm where j >= 0.5")
 def similar_groups(spark, sf_dir):
-    return groups.similar_pairs(_small_baskets(spark, sf_dir), 0.5)
+    return groups.similar_pairs(_basket_groups(spark, sf_dir), 0.5)
 
 
-@query(f"{BASKETS}, d1 as (select array_to_string(members, ',') as g, members from wb where len(members) between 2 and 4) select g as group_id from d1 where not exists (select 1 from d1 b where len(b.members) > len(d1.members) and list_has_all(b.members, d1.members))")
+@query(f"{PAIRS} select g as group_id from d1 where g not in (select small from ct)")
 def maximal_groups(spark, sf_dir):
-    return groups.without_subsets(_small_baskets(spark, sf_dir)).select("group_id")
+    return groups.without_subsets(_basket_groups(spark, sf_dir)).select("group_id")
 
 
 @query(f"{TOP}, v as (select contact, count(*) as volume from addrs group by 1), ex as (select group_id, len(members) as k, unnest(members) as contact from gs), b as (select group_id, k, arg_max(contact, (volume, contact)) as contact from ex join v using (contact) group by 1, 2) select group_id, case when k > 1 then name || '+' || (k - 1) else name end as label from b join contacts using (contact)")
@@ -186,5 +186,5 @@ def ner_em_train(spark, sf_dir):
 @query(None)
 def ner_label(spark, sf_dir):
     gazette = _gazette(spark, sf_dir)
-    texts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("We met the Building Company in "), F.initcap("n_name"), F.lit(" last year.")).alias("body"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     return ner.span_lines(ner.recognised(texts, "body", ner.train(gazette), gazette))

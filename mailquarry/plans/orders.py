@@ -328,7 +328,7 @@ def first_seen_ids(spark, sf_dir):
 # Groups and graphs
 
 BASKETS = "bk as (select doc_id, list_sort(list(distinct contact)) as members from addrs join contacts using (contact) where not is_self and not is_list group by doc_id), bd as (select bk.*, date from bk join messages using (doc_id)), mo as (select members, date_trunc('month', date) as m, count(*) as c from bd group by 1, 2), wb as (select members, sum(sqrt(c)) * least(len(members), 10) as weight, sum(c)::bigint as n from mo group by members)"
-TOP = BASKETS + ", sp as (select s_suppkey // 10 as g, s_suppkey from supplier), gs as (select g::int as group_id, list_sort(list('s' || s_suppkey)) as members from (select * from sp where s_suppkey % 10 < 2) group by g)"
+TOP = BASKETS + ", gs as (select (s_suppkey // 2)::int as group_id, list_sort(list('s' || s_suppkey)) as members from supplier group by 1)"
 
 
 @query(f"{BASKETS} select doc_id, array_to_string(members, ',') as members from bk")
@@ -347,9 +347,9 @@ def hyperconnected(spark, sf_dir):
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of two neighbouring suppliers for each ten."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 10 < 2")
-    return s.groupBy(F.floor(F.col("s_suppkey") / 10).cast("int").alias("group_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), "s_suppkey"))).alias("members"))
+    """All suppliers, in groups of two neighbours."""
+    pair = F.floor(F.col("s_suppkey") / 2).cast("int").alias("group_id")
+    return table(spark, sf_dir, "supplier").groupBy(pair).agg(F.array_sort(F.collect_list(F.concat(F.lit("s"), "s_suppkey"))).alias("members"))
 
 
 def _with_freq(spark: SparkSession, sf_dir: str, a: Archive) -> DataFrame:
@@ -386,22 +386,24 @@ def group_mass(spark, sf_dir):
     return groups.mass(_groups(spark, sf_dir), volumes)
 
 
-PAIRS = f"{BASKETS}, d1 as (select array_to_string(members, ',') as g, members, n as freq from wb where len(members) between 2 and 4), ct as (select a.g as small, b.g as large, round((len(b.members) - len(a.members)) / len(b.members)::double * (a.freq - b.freq) / a.freq, 6) as error, len(b.members) as k from d1 a, d1 b where len(a.members) < len(b.members) and list_has_all(b.members, a.members))"
+SETS = f"{BASKETS}, d1 as (select array_to_string(members, ',') as g, members, len(members) as k, n as freq from wb), el as (select g, k, freq, unnest(members) as c from d1)"
+PAIRS = f"{SETS}, ct as (select x.g as small, y.g as large, round((y.k - x.k) / y.k::double * (x.freq - y.freq) / x.freq, 6) as error, y.k as k from el x join el y using (c) where x.k < y.k group by x.g, y.g, x.k, y.k, x.freq, y.freq having count(*) = x.k)"
 
 
-def _small_baskets(spark, sf_dir):
-    w = groups.weighted(groups.baskets(order_archive(spark, sf_dir))).where(F.size("members").between(2, 4))
+def _basket_groups(spark, sf_dir):
+    """All distinct baskets as groups."""
+    w = groups.weighted(groups.baskets(order_archive(spark, sf_dir)))
     return w.select(F.array_join("members", ",").alias("group_id"), "members", F.col("n").alias("freq"))
 
 
 @query(f"{PAIRS} select small, large, error from ct")
 def subsumption(spark, sf_dir):
-    return groups.subsumption(_small_baskets(spark, sf_dir))
+    return groups.subsumption(_basket_groups(spark, sf_dir))
 
 
 @query(f"{PAIRS} select small as child, arg_min(large, (error, k, large)) as parent from ct group by small")
 def group_hierarchy(spark, sf_dir):
-    return groups.hierarchy(_small_baskets(spark, sf_dir))
+    return groups.hierarchy(_basket_groups(spark, sf_dir))
 
 
 @query(f"{TOP} select count(*) as n_groups, max(len(members))::int as largest, min(len(members))::int as smallest, round(avg(len(members)), 6) as mean_size, (select count(*) from (select unnest(members) as c from gs group by 1)) as n_people, 0::bigint as n_shared from gs")

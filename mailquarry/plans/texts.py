@@ -320,16 +320,16 @@ def lens_score(spark, sf_dir):
     return fulltext.lens(pages, hits, none, spark.createDataFrame([("from", 2.0)], "term string, boost double"))
 
 
-@query("select doc_id, regexp_replace(subject, '[A-Za-z0-9]', '.', 'g') as subject from docs where not reviewed")
+@query(f"{SINGLE}, own as (select doc_id, list(w) as words from (select doc_id, unnest(string_split_regex(entity, '[^a-z0-9]+')) as w from en) group by 1), rn as (select doc_id, subject, coalesce(words, []) as words, regexp_extract_all(subject, '[A-Za-z0-9]+|[^A-Za-z0-9]+') as runs from docs left join own using (doc_id) where not reviewed) select doc_id, case when subject is not null then array_to_string(list_transform(runs, lambda r: case when regexp_matches(r, '^[A-Za-z0-9]') and not list_contains(words, lower(r)) then repeat('.', length(r)) else r end), '') end as subject from rn", DOCUMENT_SQL)
 def redact_text(spark, sf_dir):
     messages = document_messages(spark, sf_dir)
-    names = messages.select("doc_id", F.array().cast("array<string>").alias("names"))
+    names = _capital_words(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("entity").alias("names"))
     return export.public_copy(messages, messages.where("not reviewed"), names).select("doc_id", "subject")
 
 
 @query(None)
 def highlights(spark, sf_dir):
-    return document_messages(spark, sf_dir).select("doc_id", fulltext.highlighted(F.col("subject"), ["the", "de"]).alias("subject"))
+    return document_messages(spark, sf_dir).select("doc_id", *[fulltext.highlighted(F.col(c), ["the", "de"]).alias(c) for c in ("subject", "body")])
 
 
 @query(None)

@@ -127,6 +127,24 @@ def test_bounded_group_algorithms():
     assert groups.likeness_order([("a", "b"), ("x", "y"), ("b", "c"), ("y", "z")]) == [("a", "b"), ("b", "c"), ("x", "y"), ("y", "z")]
 
 
+def test_group_joins_against_all_pairs(spark):
+    import random
+
+    pick = random.Random(4)
+    sets = sorted({tuple(sorted(pick.sample("abcdefgh", pick.randint(1, 6)) + ["hub"] * pick.randint(0, 1))) for _ in range(120)})
+    sets += [("lone",), tuple(f"m{i:02}" for i in range(40)), tuple(f"m{i:02}" for i in range(36))]
+    found = spark.createDataFrame(list(enumerate(sets)), "group_id int, members array<string>").repartition(3)
+    numbered = list(enumerate(map(set, sets)))
+    inside = {(i, j) for i, a in numbered for j, b in numbered if a < b}
+    assert sorted(map(tuple, groups.containments(found).collect())) == sorted(inside)
+    assert {r["group_id"] for r in groups.without_subsets(found).collect()} == set(range(len(sets))) - {i for i, _ in inside}
+    for least in (0.2, 0.5, 0.75, 1.0):
+        like = [(i, j, round(len(a & b) / len(a | b), 6)) for i, a in numbered for j, b in numbered if i < j and len(a & b) / len(a | b) >= least]
+        assert sorted(map(tuple, groups.similar_pairs(found, least).collect())) == like
+    none = found.where("false")
+    assert groups.containments(none).isEmpty() and groups.similar_pairs(none, 0.5).isEmpty()
+
+
 def test_nearest_names(spark):
     from mailquarry.operators.people import expanded_names, third_party
 
