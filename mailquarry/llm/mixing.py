@@ -39,21 +39,23 @@ def n_tokens(text: Column) -> Column:
     return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(F.split(body, r"[ \t-\r]+"))).cast("long")
 
 
-def _power_sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
-    """(entropy of the weights, largest ratio of repeats between two sources) for each exponent, in one aggregate."""
+def _power_sums(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
+    """For each exponent, in one aggregate: entropy of the weights, largest ratio of repeats between two sources, and
+    the passes over the source that is repeated most, if the budget is all tokens once."""
     log = F.col("log_share")
     columns = [F.min("log_share").alias("low"), F.max("log_share").alias("high")]
     for i, a in enumerate(exponents):
         columns += [F.sum(F.exp(log * a)).alias(f"z{i}"), F.sum(F.exp(log * a) * log).alias(f"s{i}")]
     r = shares.agg(*columns).first()
-    return [(math.log(r[f"z{i}"]) - a * r[f"s{i}"] / r[f"z{i}"], math.exp((1 - a) * (r["high"] - r["low"]))) for i, a in enumerate(exponents)]
+    return [(math.log(r[f"z{i}"]) - a * r[f"s{i}"] / r[f"z{i}"], math.exp((1 - a) * (r["high"] - r["low"])), math.exp((a - 1) * r["low"]) / r[f"z{i}"]) for i, a in enumerate(exponents)]
 
 
-def exponent_for(shares: DataFrame, entropy: float | None, repeats: float | None) -> tuple[float, float]:
-    """The largest exponent in [0, 1] whose entropy is at least `entropy`, raised until repeats are within the limit.
+def exponent_for(shares: DataFrame, entropy: float | None, repeats: float | None, passes: float | None = None) -> tuple[float, float]:
+    """The largest exponent in [0, 1] whose entropy is at least `entropy`, raised until repeats are within the limits.
 
-    Entropy and repeats fall as the exponent grows, so both are found by repeated sectioning: each pass evaluates GRID
-    exponents at once over the table of shares (log_share), which stays distributed. Returns (exponent, its entropy).
+    repeats bounds the ratio between two sources, passes the most repeated source if the budget is all tokens once. All
+    three fall as the exponent grows, so they are found by repeated sectioning: each pass evaluates GRID exponents at once
+    over the table of shares (log_share), which stays distributed. Returns (exponent, its entropy).
     """
     def search(holds) -> float:
         low, high = 0.0, 1.0  # holds at low; does not at high
@@ -66,10 +68,11 @@ def exponent_for(shares: DataFrame, entropy: float | None, repeats: float | None
             low, high = grid[k], grid[k + 1]
         return low
 
-    exponent = 1.0 if entropy is None else search(lambda h, _: h >= entropy - 1e-12)
-    if repeats is not None and _power_sums(shares, [exponent])[0][1] > repeats:
-        exponent = search(lambda _, r: r > repeats)  # the last exponent that repeats too much: one section below the limit
-        exponent = min(1.0, exponent + GRID ** -PASSES * 2)
+    exponent = 1.0 if entropy is None else search(lambda *x: x[0] >= entropy - 1e-12)
+    for place, limit in ((1, repeats), (2, passes)):
+        if limit is not None and _power_sums(shares, [exponent])[0][place] > limit:
+            exponent = search(lambda *x: x[place] > limit)  # the last exponent that repeats too much: one section below the limit
+            exponent = min(1.0, exponent + GRID ** -PASSES * 2)
     return exponent, _power_sums(shares, [exponent])[0][0]
 
 
@@ -79,12 +82,13 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), name.alias("_name"), n_tokens(F.col("text")).alias("_tokens"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_hash"))
 
 
-def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = ENTROPY, repeats: float | None = MOST_REPEATS) -> tuple[Mix, DataFrame]:
+def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = ENTROPY, repeats: float | None = MOST_REPEATS, most_passes: float | None = None) -> tuple[Mix, DataFrame]:
     """Weights, quotas and cuts of the sources of docs (doc_id, text, source).
 
     A source's share of tokens is raised to an exponent (see exponent_for; entropy is a share of its maximum). The
     normalised weights times the budget are quotas of tokens. Without a budget it is the one that gives the source with
-    the fewest repeats just one whole pass, so that no row is lost. A quota of q passes and a rest takes all rows q times
+    the fewest repeats just one whole pass, so that no row is lost. No source is read over more than most_passes times: the
+    exponent is raised for it, and a budget beyond so many passes over everything is lowered to them. A quota of q passes and a rest takes all rows q times
     and then the rows that begin before the rest in the source's keyed permutation (order of a 64-bit hash of doc_id and
     text; equal rows stand together). Sources without tokens get no weight and one pass. Returns the mix, whose sources
     have (_name, n_rows, n_tokens, weight, quota, passes, cut, open: whether a rest is taken at all), and the narrow rows.
@@ -98,7 +102,13 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = EN
         none = totals.select("*", F.lit(0.0).alias("weight"), F.lit(0.0).alias("quota"), F.lit(1).cast("long").alias("passes"), F.lit(0).cast("long").alias("cut"), F.lit(False).alias("open"))
         return Mix(1.0, 0.0, 0.0, none), rows
     shares = totals.where("n_tokens > 0").withColumn("log_share", F.log(F.col("n_tokens") / F.lit(float(whole[0]))))
-    exponent, reached = exponent_for(shares, None if entropy is None else entropy * math.log(whole[1]), repeats)
+    bound = None
+    if most_passes is not None and budget is not None:
+        budget = min(budget, most_passes * whole[0])
+        bound = most_passes * whole[0] / budget if budget > 0 else None
+    elif most_passes is not None:  # the least repeated source has one pass
+        repeats = max(1.0, most_passes if repeats is None else min(repeats, most_passes))
+    exponent, reached = exponent_for(shares, None if entropy is None else entropy * math.log(whole[1]), repeats, bound)
     z = shares.agg(F.sum(F.exp(F.col("log_share") * exponent))).first()[0]
     weighted = shares.withColumn("weight", F.exp(F.col("log_share") * exponent) / z)
     if budget is None:
@@ -125,26 +135,40 @@ def _times() -> Column:
     return F.col("passes") + F.when(F.col("open") & (F.shiftrightunsigned("_hash", 1) <= F.col("cut")), 1).otherwise(0)
 
 
+def _up_to(counted: DataFrame, group: list[str], value: str) -> DataFrame:
+    """counted (group, _bucket, value) with _start: the sum of value over the group's earlier buckets."""
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*group, "_bucket", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("_start"))
+
+
 def plan(docs: DataFrame, blocks: int = BLOCKS, **how) -> DataFrame:
-    """(doc_id, source, n_tokens, pass, block, weight) of every row that the mix takes, once for each pass.
+    """(doc_id, source, n_tokens, pass, block, place, weight) of every row that the mix takes, once for each pass.
 
-    Within a source and pass rows stand in the order of their hash; a row that begins at the fraction f of its source's
-    quota lies in block floor(f * blocks). So each block holds all sources at their weights, within a document, and
-    blocks can be read one after the other. Null sources are a source of their own; texts without tokens fall where they
-    stand; an empty table gives no rows.
+    Each pass over a source has a permutation of its own, by a hash keyed with the pass; a row that begins at the fraction
+    f of its source's quota lies in block floor(f * blocks). So each block holds all sources at their weights, within a
+    document, and blocks can be read one after the other. Inside a block the rows of all sources are permuted together, and
+    place is a row's number there, from 0 without gaps. Null sources are a source of their own; texts without tokens fall
+    where they stand; repeated rows may swap places; an empty table gives no rows.
     """
     mixed, rows = mix(docs, **how)
-    bits = bucket_bits(max(1, rows.count()))
-    dealt = rows.withColumn("_bucket", hash_bucket(F.col("_hash"), bits))
-    starts = dealt.groupBy("_name", "_bucket").agg(F.sum("_tokens").alias("_in"))
-    starts = starts.select("_name", "_bucket", F.coalesce(F.sum("_in").over(Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.sum("_tokens").over(Window.partitionBy("_name", "_bucket").orderBy(F.shiftrightunsigned("_hash", 1), "_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = dealt.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, ["_name", "_bucket"]).join(mixed.sources, "_name")
-    taken = placed.withColumn("_times", _times()).where("_times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    n = max(1, rows.count())
+    sources = mixed.sources
+    if sources.count() <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
+    taken = rows.join(sources, "_name").withColumn("_times", _times()).where("_times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    keyed = taken.withColumn("_key", F.xxhash64(F.lit(SEED), "pass", "_hash")).withColumn("_bucket", hash_bucket(F.col("_key"), bucket_bits(n)))
+    starts = _up_to(keyed.groupBy("_name", "pass", "_bucket").agg(F.sum("_tokens").alias("_in")), ["_name", "pass"], "_in")
+    inside = F.sum("_tokens").over(Window.partitionBy("_name", "pass", "_bucket").orderBy("_key", "_hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = keyed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(starts, ["_name", "pass", "_bucket"])
     begins = F.col("pass") * F.col("n_tokens") + F.col("_start") + F.col("_inside")
-    block = F.when(F.col("quota") > 0, F.least(F.floor(begins / F.col("quota") * blocks), F.lit(blocks - 1))).otherwise(0)
+    block = F.when(F.col("quota") > 0, F.least(F.floor(begins / F.col("quota") * blocks), F.lit(blocks - 1))).otherwise(0).cast("int")
+    spot = F.xxhash64(F.lit(SEED + 1), "pass", "_hash")
+    dealt = cut(placed.select("doc_id", "_name", "_tokens", "pass", block.alias("block"), "weight", spot.alias("_spot")).withColumn("_bucket", hash_bucket(F.col("_spot"), bucket_bits(n // blocks))))
+    first = _up_to(dealt.groupBy("block", "_bucket").agg(F.count("*").alias("_n")), ["block"], "_n")
+    rank = F.row_number().over(Window.partitionBy("block", "_bucket").orderBy("_spot", "_name", "doc_id")) - 1
+    numbered = dealt.withColumn("_rank", rank).join(first, ["block", "_bucket"])
     source = F.when(F.col("_name") == "", F.lit(None)).otherwise(F.expr("substring(_name, 2)"))
-    return taken.select("doc_id", source.alias("source"), F.col("_tokens").alias("n_tokens"), F.col("pass").cast("int").alias("pass"), block.cast("int").alias("block"), "weight")
+    return numbered.select("doc_id", source.alias("source"), F.col("_tokens").alias("n_tokens"), F.col("pass").cast("int").alias("pass"), "block", (F.col("_start") + F.col("_rank")).alias("place"), "weight")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -369,6 +369,9 @@ def test_exponent_meets_targets(spark):
     a, _ = mixing.exponent_for(shares, 1.3, 3.0)
     repeats = p ** (a - 1)
     assert repeats.max() / repeats.min() <= 3.0 + 1e-6 and repeats.max() / repeats.min() > 2.99
+    a, _ = mixing.exponent_for(shares, 1.3, None, 2.0)
+    most = (p ** (a - 1) / (p**a).sum()).max()
+    assert most <= 2.0 + 1e-6 and most > 1.99
 
 
 def test_mix_by_brute_force(spark, docs):
@@ -393,6 +396,19 @@ def test_mix_by_brute_force(spark, docs):
             assert sum(r["doc_id"] == d for r in got) == n
         assert s["passes"] >= 1 and sum(r["n_tokens"] for r in got) >= s["quota"] - 1e-6
         assert all(0 <= r["block"] < mixing.BLOCKS for r in got)
+        hashes = {r["doc_id"]: r["_hash"] for r in own}
+        for turn in {r["pass"] for r in got}:  # each pass in the order of its own keys
+            now = [r for r in got if r["pass"] == turn]
+            keys = frame.sparkSession.createDataFrame([(r["doc_id"], hashes[r["doc_id"]]) for r in now], "doc_id long, h long").selectExpr("doc_id", f"xxhash64({mixing.SEED}, {turn}L, h) as key").collect()
+            key, at = {r["doc_id"]: r["key"] % 2**64 for r in keys}, turn * s["n_tokens"]
+            bits = mixing.bucket_bits(len(data))
+            for r in sorted(now, key=lambda r: (key[r["doc_id"]] >> (64 - bits), (key[r["doc_id"]] + 2**63) % 2**64)):
+                assert r["block"] == min(int(at / s["quota"] * mixing.BLOCKS), mixing.BLOCKS - 1)
+                at += r["n_tokens"]
+    by_block = {}
+    for r in (r for rs in taken.values() for r in rs):
+        by_block.setdefault(r["block"], []).append(r["place"])
+    assert all(sorted(x) == list(range(len(x))) for x in by_block.values())
     again = {}
     for r in mixing.mixed_documents(frame, entropy=0.99, repeats=2.5).collect():
         again[r["doc_id"]] = again.get(r["doc_id"], 0) + 1
@@ -408,6 +424,22 @@ def test_mix_hard_cases(hard, none):
     assert 0 < len(budget) < hard.count()
 
 
+def test_no_source_is_passed_more_often_than_asked(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 360, "a").when(F.col("id") < 396, "b").otherwise("c").alias("source"))
+    total = 400 * 5
+    for budget, limit in ((2.0 * total, 3.0), (9.0 * total, 3.0), (0.5 * total, 1.0), (None, 1.2)):
+        mixed, _ = mixing.mix(frame, budget=budget, most_passes=limit)
+        over = [s["quota"] / s["n_tokens"] for s in mixed.sources.collect()]
+        assert max(over) <= limit + 1e-5 and mixed.budget <= limit * total + 1e-6
+    assert max(s["quota"] / s["n_tokens"] for s in mixing.mix(frame, budget=2.0 * total)[0].sources.collect()) > 2.5
+    counts = {}
+    for r in mixing.plan(frame, budget=9.0 * total, most_passes=3.0).collect():
+        counts[r["doc_id"]] = counts.get(r["doc_id"], 0) + 1
+    assert set(counts.values()) == {3} and len(counts) == 400
+
+
 # SimHash
 
 
