@@ -22,8 +22,10 @@ ROUNDS = 3
 BROADCAST_LANGUAGES = 100_000
 FLOOR = 1e-8
 UNKNOWN = "und"
-#: Words whose scores a worker remembers.
-CACHE = 300_000
+#: Bytes of a model that may be broadcast: 8 for each piece and language.
+MODEL_BYTES = 512 << 20
+#: Words whose scores a worker remembers, and the bytes of their scores (8 for each word and language).
+CACHE, CACHE_BYTES = 300_000, 64 << 20
 #: Runs of letters; a longer run is cut, so that products stay in the range of a double.
 _RUN = re.compile(r"[^\W\d_]{1,32}")
 START = "▁"
@@ -128,18 +130,22 @@ def _normalised(uses: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(train: DataFrame, vocabulary: str = VOCABULARY, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> LanguageModel | None:
+def fit(train: DataFrame, vocabulary: str = VOCABULARY, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, most_bytes: int = MODEL_BYTES) -> LanguageModel | None:
     """Learns the piece probabilities of each language from train (doc_id, text, lang) by EM.
 
     Words are counted with map-side combining; each E-step runs over the distinct words of the sample on the executors
-    and sends one row for each language and piece: at most languages x vocabulary, whatever the input. None: no rows.
+    and sends one row for each language and piece: at most languages x vocabulary, whatever the input. A model of more than most_bytes
+    (some thousand languages) raises an error before anything is sent, as it would not fit the workers. None: no rows.
     """
     small_batches(train.sparkSession)
     pieces = Pieces.load(vocabulary)
     sample = _drawn(train.where("lang is not null and text is not null").select("doc_id", "text", "lang"), rows)
     split = F.explode(F.expr("regexp_extract_all(lower(text), '\\\\p{L}{1,32}', 0)"))
     counted = cut(sample.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    most = most_bytes // (8 * pieces.size)
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"a model of more than {most} languages passes {most_bytes} bytes")
     if not languages:
         return None
     at = {x: i for i, x in enumerate(languages)}
@@ -185,7 +191,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel) -> None:
         self.model, self.place = model, {}
-        self.scores = np.zeros((CACHE, len(model.languages)))
+        self.scores = np.zeros((min(CACHE, CACHE_BYTES // (8 * len(model.languages))), len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
         new = {w for w in words if w not in self.place}
