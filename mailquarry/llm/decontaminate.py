@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquarry.llm.common import batches_of, small_batches, utf8
+from mailquarry.llm.common import batches_of, cut, small_batches, utf8
 
 WINDOW = 10
-#: Benchmark text of one automaton in bytes; larger benchmarks are scanned by several automata in a row.
+#: Benchmark text of one automaton in bytes; a larger benchmark makes several, each with a pass of its own.
 AUTOMATON_BYTES = 8_000_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -75,52 +77,100 @@ def offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(points(at[a][0]), points(at[b - 1][1])) for a, b in spans]
 
 
-def _scanner(machines: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """machines: broadcasts of item lists. A worker holds one automaton at a time over a batch of texts."""
-    built: dict[int, WindowAutomaton] = {}
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
-    def automaton(k: int) -> WindowAutomaton:
-        if k not in built:
-            built.clear()
-            built[k] = WindowAutomaton(machines[k].value)
-        return built[k]
+
+def _result(doc: int | None, n_words: int, ranges: list[tuple[int, int]], names: Iterable[str], where: list[tuple[int, int]]) -> tuple:
+    n_hit, listed = sum(b - a for a, b in ranges), sorted(set(names))
+    spans = [{"start": a, "end": b} for a, b in where]
+    return doc, n_words, n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0, listed, spans
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+
+
+def _scanner(machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """machine: a broadcast list of items, of which a worker builds one automaton."""
+
+    def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None
+        for batch in batches_of(source):
+            automaton = automaton or WindowAutomaton(machine.value)
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                words = words_of(text)
+                ranges, names = automaton.scan(words)
+                rows.append(_result(doc, len(words), ranges, names, offsets(text or b"", ranges)))
+            yield _batch(rows)
+
+    return scan
+
+
+def _hit_scanner(machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (doc_id, text_hash, text) the rows with hits: their items, and ranges of words with their code points."""
 
     def scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("items", pa.list_(pa.string())), ("ranges", pa.list_(pa.list_(pa.int32())))])
+        automaton = None
         for batch in batches_of(source):
-            texts = utf8(batch.column(1))
-            split = [words_of(t) for t in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for k in range(len(machines)):
-                machine = automaton(k)
-                for i, words in enumerate(split):
-                    found, names = machine.scan(words)
-                    if found:
-                        spans[i] = merged(spans[i] + found)
-                        items[i] |= names
+            automaton = automaton or WindowAutomaton(machine.value)
             rows = []
-            for doc, text, words, ranges, names in zip(batch.column(0).to_pylist(), texts, split, spans, items):
-                n_hit, listed = sum(b - a for a, b in ranges), sorted(names)
-                where = [{"start": a, "end": b} for a, b in offsets(text or b"", ranges)]
-                rows.append((doc, len(words), n_hit, len(listed), hashlib.sha256(",".join(listed).encode()).hexdigest(), n_hit > 0, listed, where))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+            for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
+                ranges, names = automaton.scan(words_of(text))
+                if ranges:
+                    rows.append((doc, text_hash, sorted(names), [[*r, *o] for r, o in zip(ranges, offsets(text or b"", ranges))]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     return scan
 
 
-def item_chunks(benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> list[list[tuple[str, bytes | None]]]:
-    """The benchmark, repeated rows once, in lists of at most most_bytes (one longer item makes a list of its own)."""
-    chunks: list[list[tuple[str, bytes | None]]] = []
-    room = 0
+def _word_counter(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches_of(source):
+        counts = pa.array([len(words_of(t)) for t in utf8(batch.column(2))], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["doc_id", "text_hash", "n_words"])
+
+
+def _finisher(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unites what the passes found in a row: n_words, items and ranges, null without hits."""
+    for batch in batches_of(source):
+        rows = []
+        for doc, n_words, items, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+            united = merged([(a, b) for a, b, _, _ in ranges or []])
+            first, last = {a: x for a, _, x, _ in ranges or []}, {b: y for _, b, _, y in ranges or []}
+            rows.append(_result(doc, n_words, united, items or [], [(first[a], last[b]) for a, b in united]))
+        yield _batch(rows)
+
+
+def item_chunks(benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark, repeated rows once, in lists of at most most_bytes (one longer item makes a list of its own).
+
+    Lists are read one after the other, so the driver holds one of them and one partition of the benchmark.
+    """
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).where("i is not null and t is not null").distinct()
+    chunk, room = [], most_bytes
     for row in rows.toLocalIterator():
+        if chunk and len(row["t"]) > room:
+            yield chunk
+            chunk, room = [], most_bytes
+        chunk.append((row["i"], bytes(row["t"])))
         room -= len(row["t"])
-        if not chunks or room < 0:
-            chunks.append([])
-            room = most_bytes - len(row["t"])
-        chunks[-1].append((row["i"], bytes(row["t"])))
-    return chunks
+    yield chunk
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
+
+
+def _passes(docs: DataFrame, chunks: Iterator[list[tuple[str, bytes]]]) -> DataFrame:
+    """(doc_id, text_hash, items, ranges) of the rows with hits: one written pass over docs for each list of items."""
+    texts, found = _keyed(docs), []
+    for chunk in chunks:
+        machine = docs.sparkSession.sparkContext.broadcast(chunk)
+        found.append(cut(texts.mapInArrow(_hit_scanner(machine), "doc_id long, text_hash long, items array<string>, ranges array<array<int>>")))
+        machine.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -128,35 +178,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = AUTOM
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A window is 10 consecutive words of
     an item; a shorter item is one window; an item without words has none. All windows go into one automaton of word
-    numbers (several, each of bounded size, if the benchmark is larger than most_bytes), so a text is scanned once and
-    nothing is shuffled. Null and empty texts have no words and no hits. Items of equal text count each under its id;
-    repeated rows of one item count once; items with a null id or text are left out. Repeated documents give repeated
-    rows, an empty table none, an empty benchmark no hits. Other columns are not read.
+    numbers, so a text is scanned once and nothing is shuffled. A benchmark of more than most_bytes makes several automata
+    of bounded size, each with a pass of its own over the texts; what they find is united by doc_id and a hash of the text,
+    on narrow rows. Null and empty texts have no words and no hits. Items of equal text count each under its id; repeated
+    rows of one item count once; items with a null id or text are left out. Repeated documents give repeated rows, an empty
+    table none, an empty benchmark no hits. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    machines = [context.broadcast(c) for c in item_chunks(benchmark, most_bytes)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_scanner(machines), RESULT)
+    chunks = item_chunks(benchmark, most_bytes)
+    first, second = next(chunks), next(chunks, None)
+    if second is None:
+        machine = docs.sparkSession.sparkContext.broadcast(first)
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_scanner(machine), RESULT)
+    hits = _passes(docs, chain([first, second], chunks))
+    once = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("items", "ranges")).alias("h"))  # repeated rows: once for each pass
+    found = once.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.flatten("h.items").alias("items"), F.flatten("h.ranges").alias("ranges"))
+    rows = _keyed(docs).mapInArrow(_word_counter, "doc_id long, text_hash long, n_words long")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
+    return joined.select("doc_id", "n_words", "items", "ranges").mapInArrow(_finisher, RESULT)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """docs without the rows that hold a window of a benchmark item; texts are scanned in place, without a shuffle."""
+    """docs without the rows that hold a window of a benchmark item; see contamination for windows and nulls.
+
+    Texts are scanned in place, without a shuffle; only a benchmark of more than most_bytes joins the keys of what goes.
+    Repeated rows go or stay together; an empty table or benchmark changes nothing; other columns are kept as they are.
+    """
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    machines = [context.broadcast(c) for c in item_chunks(benchmark, most_bytes)]
+    chunks = item_chunks(benchmark, most_bytes)
+    first, second = next(chunks), next(chunks, None)
+    if second is not None:
+        gone = _passes(docs, chain([first, second], chunks)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+        return packed.join(gone, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left_anti").select("_row.*")
+    machine = docs.sparkSession.sparkContext.broadcast(first)
     at = docs.columns.index("text")
 
     def kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built: dict[int, WindowAutomaton] = {}
+        automaton = None
         for batch in batches_of(source):
-            hit = [False] * batch.num_rows
-            split = [words_of(t) for t in utf8(batch.column(at))]
-            for k, items in enumerate(machines):
-                if k not in built:
-                    built.clear()
-                    built[k] = WindowAutomaton(items.value)
-                hit = [h or bool(built[k].scan(words)[0]) for h, words in zip(hit, split)]
-            yield batch.filter(pa.array([not h for h in hit]))
+            automaton = automaton or WindowAutomaton(machine.value)
+            yield batch.filter(pa.array([not automaton.scan(words_of(t))[0] for t in utf8(batch.column(at))]))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -614,7 +614,12 @@ def test_contamination_hard_cases(spark, hard, none):
             assert sum(len(norm((t or "")[s["start"] : s["end"]])) for s in r["spans"]) == len(hit)
         kept = {r["doc_id"] for r in decontaminate.without_benchmark(small, bench, most).collect()}
         assert kept == {d for d, r in out.items() if not r["contaminated"]}
-    assert decontaminate.contamination(none, bench).count() == 0
+    assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(none, bench, 5).count() == 0
+    again = small.limit(20).unionByName(small.limit(20)).unionByName(hard.select(*small.columns))
+    many, one = ([tuple(r) for r in decontaminate.contamination(again, bench, most).collect()] for most in (5, decontaminate.AUTOMATON_BYTES))
+    assert sorted(many, key=str) == sorted(one, key=str) and len(many) == again.count()
+    clean = decontaminate.without_benchmark(again, bench, 5)
+    assert clean.count() == sum(not r[5] for r in one) and clean.columns == again.columns
     assert not any(r["contaminated"] for r in decontaminate.contamination(hard, bench.where("false")).collect())
     assert decontaminate.contamination(hard, bench).count() == hard.count()
 
@@ -701,6 +706,8 @@ def test_languages_held_out(spark, hard, none):
     scored = {r["doc_id"]: r for r in langid.identify(hard, model).collect()}
     assert [scored[d]["lang_pred"] for d in (0, 1, 2)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in scored.values())
     assert langid.identify(hard, model).count() == hard.count() and langid.identify(none, model).count() == 0
+    with pytest.raises(ValueError):
+        langid.fit(big, most_bytes=100)
     assert langid.fit(none) is None and {r["lang_pred"] for r in langid.identify(hard, None).collect()} == {"und"}
     assert langid.identify(spark.createDataFrame([(1, "123 !!")], "doc_id int, text string"), model).first()["lang_pred"] == "und"
 
