@@ -95,6 +95,24 @@ def test_late_events_are_left_out(spark, tmp_path):
     assert days[(date(2024, 1, 10), "a")] == 1 and (date(2024, 2, 20), "b") not in days
 
 
+def test_streams_are_drained_to_files(spark, tmp_path):
+    rows = [[(1, datetime(2024, 1, 1), 1, "a", 0.0), (2, datetime(2024, 1, 2), 1, "a", 0.0)], [(3, datetime(2024, 1, 3), 1, "a", 0.0), (4, datetime(2024, 1, 3), 2, "b", 1.0)]]
+    for batch in rows:
+        spark.createDataFrame(batch, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = windows.event_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    copies = windows.drained(windows.first_copies(stream, ["user_id", "event_type", "value"]).select("user_id", "value"), "copies_to_files", "append")
+    assert sorted(map(tuple, copies.collect())) == [(1, 0.0), (2, 1.0)]
+    shared = spark.sparkContext.getCheckpointDir().rsplit("/", 1)[1]
+    assert copies.inputFiles() and all(shared in f for f in copies.inputFiles())  # not in the driver's memory
+    days = windows.drained(windows.windowed_counts(stream), "days_to_files", "complete")
+    assert sorted((r["start"].day, r["n"]) for r in days.collect()) == [(1, 1), (2, 1), (3, 1), (3, 1)]
+    seen = windows.drained(windows.running_counts(stream), "seen_to_files", "update", str(tmp_path / "state"))
+    assert sorted((r["user_id"], r["n"]) for r in seen.collect()) == [(1, 2), (1, 3), (2, 1)]
+    assert windows.drained(windows.running_counts(stream), "seen_again", "update", str(tmp_path / "state")).isEmpty()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 @pytest.mark.parametrize("spec", ["a", "b"])
 def test_mail_directions(spark, spec):
     from mailquarry.operators.people import mailing_list_states
