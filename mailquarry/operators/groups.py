@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailquarry.sources.archive import Archive
@@ -15,6 +17,13 @@ def baskets(archive: Archive) -> DataFrame:
     return of_doc.join(archive.messages.select("doc_id", "date"), "doc_id")
 
 
+def member_sets(archive: Archive) -> DataFrame:
+    """(members): the distinct member sets of `baskets`, without their dates."""
+    people = archive.addrs.select("doc_id", "contact").join(archive.contacts.where("not is_self and not is_list").select("contact"), "contact")
+    of_doc = people.groupBy("doc_id").agg(F.array_sort(F.collect_set("contact")).alias("members"))
+    return of_doc.join(archive.messages.select("doc_id").distinct(), "doc_id", "left_semi").select("members").distinct()
+
+
 def weighted(found: DataFrame) -> DataFrame:
     """(members, weight, n): distinct baskets; weight sums the root of the messages of each month, times min(size, 10)."""
     monthly = found.groupBy("members", F.date_trunc("month", "date").alias("m")).agg(F.count("*").alias("c"))
@@ -118,25 +127,66 @@ def statistics(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.max(F.size("members")).alias("largest"), F.min(F.size("members")).alias("smallest"), F.round(F.avg(F.size("members")), 6).alias("mean_size")).crossJoin(F.broadcast(people))
 
 
+#: Members of more groups than RARE are frequent; so many of them are known to all tasks, the most frequent first.
+RARE, FREQUENT = 32, 200_000
+
+
+def _overlap(least: float, ka: Column, kb: Column) -> Column:
+    """How many members two groups of these sizes must share at least to be as alike as `least`."""
+    return F.ceil(least / (1 + least) * (ka + kb) - 1e-9)
+
+
+def _keyed(groups: DataFrame) -> DataFrame:
+    """(id, group_id, k, sig, ordered): members with the rare ones first, numbered; sig has a bit set for each."""
+    flat = groups.select("group_id", "members", F.explode("members").alias("contact"))
+    often = flat.groupBy("contact").agg(F.count("*").alias("n")).where(F.col("n") > RARE).orderBy(F.desc("n"), "contact").limit(FREQUENT)
+    known = flat.join(F.broadcast(often), "contact", "left").select("members", "group_id", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "contact").alias("m"))
+    of_id = known.groupBy("members", "group_id").agg(F.array_sort(F.collect_list("m")).alias("ordered"))  # distinct members are dealt by them, so they need not move again
+    sig = F.expr("aggregate(ordered, 0, (x, m) -> x | shiftleft(1, cast(pmod(hash(m.contact), 31) as int)))")
+    numbered = F.transform("ordered", lambda m, i: F.struct(m["n"].alias("n"), m["contact"].alias("contact"), i.alias("i")))
+    return of_id.select(F.xxhash64("group_id").alias("id"), "group_id", F.size("ordered").alias("k"), sig.alias("sig"), numbered.alias("ordered"))
+
+
+def _meetings(keyed: DataFrame, least: float) -> DataFrame:
+    """(key, id, k, left, sig): the keys by which a group meets others. left: members from the key's last on, and those before."""
+    k = F.col("k")
+    alone = F.slice("ordered", 1, (k - F.ceil(least * k - 1e-9) + 1).cast("int"))
+    two = F.slice("ordered", 1, F.greatest(k - F.greatest(F.ceil(least * k - 1e-9), F.lit(2)) + 2, F.lit(0)).cast("int"))
+    rare = F.transform(F.filter(alone, lambda m: m["n"] == 0), lambda m: F.struct(F.hash(m["contact"]).alias("key"), (k - m["i"]).cast("int").alias("left")))
+    often = F.filter(two, lambda m: m["n"] > 0)
+    pairs = F.flatten(F.transform("often", lambda x, i: F.transform(F.slice("often", i + 2, F.size("ordered")), lambda y: F.struct(F.hash(x["contact"], y["contact"]).alias("key"), (k - y["i"] + 1).cast("int").alias("left")))))
+    rows = keyed.select("id", "k", "sig", "ordered", rare.alias("rare"), often.alias("often")).select("id", "k", "sig", F.explode(F.concat("rare", pairs)).alias("m"))
+    return rows.select("m.key", "id", "k", "m.left", "sig")
+
+
+def _single_meetings(keyed: DataFrame, least: float) -> DataFrame:
+    """(a, b): groups that are alike enough by one shared member, as both are small; by member and both sizes."""
+    most = math.floor((1 + least) / least + 1e-9)
+    rows = keyed.where(F.col("k") < most).select("id", "k", F.explode("ordered.contact").alias("contact"))
+    small = rows.select("contact", F.col("k").alias("ks"), F.explode(F.expr(f"filter(sequence(1, {most}), x -> x >= k and x + k <= {most})")).alias("kl"), F.col("id").alias("a"))
+    large = rows.select("contact", F.explode(F.expr(f"filter(sequence(1, {most}), x -> x <= k and x + k <= {most})")).alias("ks"), F.col("k").alias("kl"), F.col("id").alias("b"))
+    return small.join(large, ["contact", "ks", "kl"]).where((F.col("ks") < F.col("kl")) | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar_pairs(groups: DataFrame, least: float) -> DataFrame:
     """(a, b, jaccard), a < b: groups of a Jaccard likeness of at least `least`.
 
-    With the members of each group in order of how few groups have them, two groups that are alike enough share one of
-    their first k - least * k + 1, so only those are joined. A pair is counted where the first of them meet, and only if
-    what follows in both can still reach the overlap that `least` asks for.
+    With the members of each group in one order, rare ones first, the first two members that groups share lie among their
+    first k - overlap + 2. Groups meet by the first if it is rare, else by both, so a frequent member alone brings none
+    together; only where one shared member is enough do small groups meet by any. What meets is compared by sizes, places
+    and sets of 31 bits, all of which only rule out, and what is left by the members.
     """
-    order = F.array_sort(F.collect_list(F.struct("n", "contact")))
-    sorted_members = _ranked(groups).groupBy("group_id", "k").agg(F.transform(order, lambda m: m["contact"]).alias("members"))
-    head = F.slice("members", 1, (F.col("k") - F.ceil(least * F.col("k") - 1e-9) + 1).cast("int"))
-    heads = sorted_members.select("group_id", "k", F.posexplode(head).alias("place", "contact"))
-    a, b = (heads.withColumnsRenamed({"group_id": x, "k": f"k{x}", "place": f"p{x}"}) for x in "ab")
-    left = F.least(F.col("ka") - F.col("pa"), F.col("kb") - F.col("pb"))
-    near = (F.least("ka", "kb") >= least * F.greatest("ka", "kb") - 1e-9) & (left >= least / (1 + least) * (F.col("ka") + F.col("kb")) - 1e-9)
-    met = a.join(b, "contact").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    ma, mb = (groups.select(F.col("group_id").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
+    keyed = _keyed(groups)
+    rows = _meetings(keyed, least)
+    a, b = (rows.withColumnsRenamed({"id": x, "k": f"k{x}", "left": f"l{x}", "sig": f"s{x}"}) for x in "ab")
+    needed = _overlap(least, F.col("ka"), F.col("kb"))
+    near = (F.least("la", "lb") >= needed) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= F.col("ka") + F.col("kb") - 2 * needed)
+    met = a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    met = met.unionByName(_single_meetings(keyed, least)).distinct()
+    ma, mb = (keyed.select(F.col("id").alias(x), F.col("group_id").alias(f"g{x}"), F.col("ordered.contact").alias(f"m{x}")) for x in "ab")
     shared = met.join(ma, "a").join(mb, "b").withColumn("c", F.size(F.array_intersect("ma", "mb")))
     jaccard = F.col("c") / (F.size("ma") + F.size("mb") - F.col("c"))
-    return shared.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return shared.withColumn("jaccard", jaccard).where((F.col("jaccard") >= least) & (F.col("ga") != F.col("gb"))).select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def without_subsets(groups: DataFrame) -> DataFrame:

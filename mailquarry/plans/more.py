@@ -96,7 +96,8 @@ def without_own(spark, sf_dir):
 
 @query(f"{SETS}, sm as (select x.g as a, y.g as b, count(*)::double / (x.k + y.k - count(*)) as j from el x join el y using (c) where x.g < y.g group by x.g, y.g, x.k, y.k) select a, b, round(j, 6) as jaccard from sm where j >= 0.5")
 def similar_groups(spark, sf_dir):
-    return groups.similar_pairs(_basket_groups(spark, sf_dir), 0.5)
+    sets = groups.member_sets(order_archive(spark, sf_dir))
+    return groups.similar_pairs(sets.select(F.array_join("members", ",").alias("group_id"), "members"), 0.5)
 
 
 @query(f"{PAIRS} select g as group_id from d1 where g not in (select small from ct)")

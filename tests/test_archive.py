@@ -163,6 +163,16 @@ def test_group_joins_against_all_pairs(spark):
     assert groups.containments(none).isEmpty() and groups.similar_pairs(none, 0.5).isEmpty()
 
 
+def test_groups_do_not_meet_by_a_frequent_member_alone(spark):
+    sets = [tuple(sorted({"hub", "club", f"a{i}", f"b{i}", f"c{i // 2}"} - ({"club"} if i % 3 else set()))) for i in range(300)]
+    found = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "group_id int, members array<string>")
+    met = groups._meetings(groups._keyed(found), 0.5)
+    rows = met.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert rows <= 100  # those with both hub and club; all 300 have hub
+    pairs = [(i, j) for i in range(300) for j in range(i + 1, 300) if len(set(sets[i]) & set(sets[j])) >= 0.4 * len(set(sets[i]) | set(sets[j]))]
+    assert sorted((r["a"], r["b"]) for r in groups.similar_pairs(found, 0.4).collect()) == pairs
+
+
 def test_nearest_names(spark):
     from mailquarry.operators.people import expanded_names, third_party
 
