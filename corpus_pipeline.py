@@ -16,7 +16,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: wide SimHash fingerprints, exact Jaccard of 0.8 over five words."""
+    """One document of each group of near-duplicates: wide SimHash fingerprints met by pigeonring, exact Jaccard of 0.8 over five words."""
     return shingles.one_of_each(docs)
 
 

@@ -1,37 +1,44 @@
-"""SimHash near-duplicates at a likeness of 0.8: wide fingerprints of word shingles, confirmed by exact Jaccard.
+"""SimHash near-duplicates at a likeness of 0.8: wide fingerprints of word shingles, met by equal segments of a pigeonring.
 
-At a Jaccard coefficient of 0.8 two 64-bit fingerprints differ in 9.7 bits on average, so the 3-bit limit of `simhash`
-finds few such pairs, and a limit that finds them leaves no equal segments to look them up by. Here fingerprints have 128
-bits with a limit of 36, min-hash keys of the same shingles propose pairs, the pigeonring budgets and the Hamming
-distance prune them, and the coefficient of what is left is counted exactly.
+At a Jaccard coefficient of 0.8 two fingerprints differ in 15.2 % of their bits (up to 18.8 % where sets have about five
+shingles), so of 64 bits no long segment need be equal. Here fingerprints have 187 segments of 14 bits, of which such a pair
+has 19 equal ones on average (10 in very small sets). Texts meet where a segment is equal and the chains from it on the
+ring of segments stay within their share of the limit; then the full distance and the exact coefficient are tested.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquarry.llm.common import batches_of, cut, small_batches, utf8
 from mailquarry.llm.components import components
 
 WORDS, LEAST, SEED = 5, 0.8, 42
-#: A pair at LEAST shares one of BANDS keys of ROWS minima but for (1 - LEAST ** ROWS) ** BANDS, 5 in 10^6.
-BANDS, ROWS = 40, 6
-#: Keys of the first round; it only has to join the bulk of large groups.
-FIRST_BANDS = 5
-#: Bits of a fingerprint in two words, and the limit: at LEAST the distance is 19.4 with a deviation of 4.1.
-BITS, LIMIT = 128, 36
+#: A pair at LEAST has no equal segment with chains in budget with a chance of about 1 in 10^7, in sets of about five
+#: shingles 6 in 10^5.
+SEGMENTS, WIDTH = 187, 14
+#: Bits in which two fingerprints may differ (22 %), and segments of a chain after the equal one that are looked at.
+LIMIT, CHAIN = 576, 8
+#: Rows of a bucket whose pairs are always counted; more than DENSE pairs, or in larger buckets rows near one, are dense.
+RUN, DENSE = 64, 10
+#: Nodes that are dealt at a time, and about the rows of one part of a segment.
+DEALT, PART_ROWS = 8192, 65_536
 #: Rows of a key table (two numbers) that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: Shingles (8 bytes each) of all sets together that may be broadcast; more are joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
-_CHUNK = 1024
-_FACTORS = np.random.default_rng(SEED).integers(1 << 31, size=BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Pigeonring: chains of c segments, the equal one included, may differ in floor(c * LIMIT / SEGMENTS) bits.
+_BUDGET = [c * LIMIT // SEGMENTS for c in range(CHAIN + 2)]
+_ROW = np.dtype([("key", "<u2"), ("node", "<i8"), ("c0", "<u8"), ("c1", "<u8")])
+_LONGS = -(-SEGMENTS * WIDTH // 64)
+_FACTORS = np.random.default_rng(SEED).integers(1 << 63, size=_LONGS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
+_TIES = np.random.default_rng(SEED + 2).integers(2, size=_LONGS * 64, dtype=np.int32)
 
 
 #: Factors of the words of a run, one for each place.
@@ -55,39 +62,18 @@ def shingle_hashes(words: list[bytes], n: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for low in range(0, short.size, _CHUNK):
-        np.minimum(least, (short[low : low + _CHUNK, None] * _FACTORS).min(axis=0), out=least)
-    return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """128 bits in two numbers; a bit is set if it is in over half the hashes, or in half of their second mixes."""
-    out = []
-    for h in (hashes, _mixed(hashes + np.uint64(1))):
-        bits = np.zeros(64, np.int64)
-        for low in range(0, h.size, _CHUNK):
-            bits += np.unpackbits(h[low : low + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-        out.append(int.from_bytes(np.packbits(bits * 2 > h.size).tobytes(), "big"))
-    return out
-
-
-def apart(a: list[Column], b: list[Column]) -> Column:
-    """In how many bits two fingerprints, each a list of words, differ."""
-    counts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
-    return sum(counts[1:], counts[0])
-
-
-def within(a: list[Column], b: list[Column], limit: int = LIMIT) -> Column:
-    """Whether two fingerprints, each a list of words, differ in `limit` bits at most.
-
-    Pigeonring: if they do, some chain on the ring of their words stays within its share of the limit at each length. So a
-    pair goes on to the full distance only if one of its words differs in at most limit / words bits.
-    """
-    counts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
-    return (F.least(*counts) <= limit // len(counts)) & (apart(a, b) <= limit)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SEGMENTS numbers of WIDTH bits. A bit is set if it is in over half the hashes' mixes; fixed bits break ties."""
+    counts = np.zeros((8, _LONGS, 8), np.int32)
+    for low in range(0, hashes.size, 255):  # the lanes of a byte count to 255
+        x = hashes[low : low + 255, None] * _FACTORS
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        for bit in range(8):
+            counts[bit] += ((x >> np.uint64(bit)) & _LANES).sum(axis=0).view(np.uint8).reshape(_LONGS, 8)
+    bits = np.zeros((SEGMENTS, 16), bool)
+    bits[:, 16 - WIDTH :] = ((2 * counts.transpose(1, 2, 0).reshape(-1) + _TIES) > hashes.size)[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+    return np.packbits(bits).view(">u2").astype("<u2")
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -105,17 +91,17 @@ def _lists(lists: list) -> pa.Array:
 
 def _key_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(source):
-        node, size, keys, first, second, known = [], [], [], [], [], {}
+        node, size, prints, known = [], [], [], {}
         for text in utf8(batch.column(2)):
             words = _words(text)
             name = xxhash.xxh64_intdigest(b" ".join(words), SEED)
             if name not in known:
                 hashes = shingle_hashes(words)
-                known[name] = (hashes.size, band_keys(hashes) if hashes.size else [], *wide_fingerprint(hashes))
+                known[name] = (hashes.size, wide_fingerprint(hashes).tobytes())
             node.append(name)
-            for column, value in zip((size, keys, first, second), known[name]):
+            for column, value in zip((size, prints), known[name]):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs(node), pa.array(size, pa.int32()), _lists(keys), _longs(first), _longs(second)], ["id", "text_hash", "node", "size", "keys", "fp0", "fp1"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _longs(node), pa.array(size, pa.int32()), pa.array(prints, pa.binary())], ["id", "text_hash", "node", "size", "fp"])
 
 
 def _set_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,79 +109,259 @@ def _set_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(_words(t)) for t in utf8(batch.column(1))])], ["node", "hashes"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach `least`."""
-    if (sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_SHINGLES:
-        sets = F.broadcast(sets)
-    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    return cut(both.where(F.col("common") >= least * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b"))
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SEGMENTS)
+
+
+def _dealt(split: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _ROW for each node and segment, packed by part: the segment and the first `split` bits of its value."""
+
+    def packed(nodes: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ring = np.concatenate([prints, prints[:, : CHAIN + 1]], axis=1).astype(np.uint64)
+        parts, blobs, held = [], [], 0
+        for seg in range(SEGMENTS):
+            rows = np.empty(nodes.size, _ROW)
+            rows["key"], rows["node"] = prints[:, seg], nodes
+            for name, first in (("c0", seg + 1), ("c1", seg + 1 + CHAIN // 2)):
+                rows[name] = reduce(lambda x, k: (x << np.uint64(WIDTH)) | ring[:, k], range(first, first + CHAIN // 2), np.uint64(0))
+            at = rows["key"] >> (WIDTH - split)
+            order = np.argsort(at, kind="stable")
+            rows, at = rows[order], at[order]
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), at.size]):
+                parts.append(seg << split | int(at[low]))
+                blobs.append(rows[low:high].tobytes())
+            held += rows.nbytes
+            if held > 4 << 20 or seg == SEGMENTS - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+                parts, blobs, held = [], [], 0
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, prints, n = [], [], 0
+        for batch in batches_of(source):
+            nodes.append(batch.column(0).to_numpy())
+            prints.append(_prints(batch.column(1)))
+            n += batch.num_rows
+            if n >= DEALT:
+                yield from packed(np.concatenate(nodes), np.concatenate(prints))
+                nodes, prints, n = [], [], 0
+        if n:
+            yield from packed(np.concatenate(nodes), np.concatenate(prints))
+
+    return run
+
+
+def _chained(x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Places of the XORs (of the segments after an equal one, in two words) that pass every chain."""
+    half = CHAIN // 2
+    at = np.flatnonzero(np.bitwise_count(x0) <= _BUDGET[half + 1])  # tested first, as it drops most
+    a, b = x0[at], x1[at]
+    whole = np.bitwise_count(a)
+    ok = np.ones(at.size, bool)
+    for c in range(1, half + 1):
+        shift = np.uint64(WIDTH * (half - c))
+        ok &= (np.bitwise_count(a >> shift) <= _BUDGET[c + 1]) & (whole + np.bitwise_count(b >> shift) <= _BUDGET[half + c + 1])
+    return at[ok]
+
+
+def _near(c0: np.ndarray, c1: np.ndarray, i: int) -> np.ndarray:
+    return _chained(c0 ^ c0[i], c1 ^ c1[i])
+
+
+def _all_pairs(c0: np.ndarray, c1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for low in range(0, c0.size, 256):
+        at = _chained((c0[low : low + 256, None] ^ c0[low:]).ravel(), (c1[low : low + 256, None] ^ c1[low:]).ravel())
+        i, j = at // (c0.size - low), at % (c0.size - low)
+        yield (i + low)[i < j], (j + low)[i < j]
+
+
+def _stars(c0: np.ndarray, c1: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Heads of the dense groups of a bucket, each with the rows near it; none: the bucket is not dense.
+
+    Of 32 rows the one with most neighbours shows a group; its head is the row nearest to the majority of their bits, which
+    of edited copies of one text is mostly that text.
+    """
+    left, out = np.arange(c0.size), []
+    while left.size > DENSE:
+        a, b = c0[left], c1[left]
+        found = max((_near(a, b, i) for i in np.unique(np.linspace(0, left.size - 1, 32).astype(int)).tolist()), key=len)
+        if found.size <= DENSE:
+            break
+        bits = np.unpackbits(np.stack([a[found], b[found]], axis=1).view(np.uint8), axis=1)
+        most = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > found.size).view(np.uint64)
+        head = int(found[(np.bitwise_count(a[found] ^ most[0]) + np.bitwise_count(b[found] ^ most[1])).argmin()])
+        near = np.union1d(_near(a, b, head), found)
+        out.append((int(left[head]), left[near]))
+        left = np.delete(left, near)
+    return out
 
 
-def _needed(least: float) -> Column:
-    """Shingles that members `a` and `b` must share at least."""
-    return F.ceil(least / (1 + least) * (F.col("a.size") + F.col("b.size")) - 1e-9)
+def _covers(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Heads and the rows paired with them, by most pairs, until each pair has a row in one of these groups."""
+    while x.size:
+        head = int(np.bincount(np.concatenate([x, y])).argmax())
+        near = np.concatenate([y[x == head], x[y == head]])
+        yield head, near
+        gone = np.append(near, head)
+        rest = ~(np.isin(x, gone) | np.isin(y, gone))
+        x, y = x[rest], y[rest]
+
+
+#: Kinds of rows that buckets give: a pair (a, b), a row a near the head b of a dense group, and a row a of dense bucket b.
+_PAIR, _STAR, _ROW_OF = 0, 1, 2
+_MET = "kind int, a long, b long, c0 long, c1 long"
+
+
+def _met(kind: int, a: np.ndarray, b: np.ndarray, c0: np.ndarray | None = None, c1: np.ndarray | None = None) -> pa.RecordBatch:
+    none = np.zeros(a.size, np.int64)
+    columns = [np.full(a.size, kind, np.int32), a, b, *(none if c is None else c.view(np.int64) for c in (c0, c1))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["kind", "a", "b", "c0", "c1"])
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return _met(_PAIR, np.minimum(x, y), np.maximum(x, y))
+
+
+def part_pairs(part: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What the buckets of one part give: its rows of equal segment whose chains are in budget."""
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    key, node, c0, c1 = (np.ascontiguousarray(rows[c]) for c in ("key", "node", "c0", "c1"))
+    starts = np.flatnonzero(np.diff(key.astype(np.int32), prepend=-1))
+    sizes = np.diff(starts, append=key.size)
+    ends = np.repeat(starts + sizes, sizes)
+    i, d, met = np.flatnonzero(np.repeat(sizes, sizes) <= RUN), 1, []
+    while True:
+        i = i[i + d < ends[i]]
+        if not i.size:
+            break
+        at = i[_chained(c0[i] ^ c0[i + d], c1[i] ^ c1[i + d])]
+        met.append((at, at + d))
+        d += 1
+    if met:
+        x, y = (np.concatenate(z) for z in zip(*met))
+        of = np.searchsorted(starts, x, "right") - 1
+        dense = (np.bincount(of, minlength=starts.size) > DENSE)[of]
+        if not dense.all():
+            yield _ordered(node[x[~dense]], node[y[~dense]])
+        x, y, of = x[dense], y[dense], of[dense]
+        order = np.argsort(of, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if order.size else []:
+            low = int(starts[of[at[0]]])
+            for head, near in _covers(x[at] - low, y[at] - low):
+                yield _met(_STAR, node[near + low], np.full(near.size, node[low + head]))
+            rows_of = np.unique(np.concatenate([x[at], y[at]]))
+            yield _met(_ROW_OF, node[rows_of], np.full(rows_of.size, part << 16 | int(key[low])), c0[rows_of], c1[rows_of])
+    for low in starts[sizes > RUN].tolist():
+        own = slice(low, ends[low])
+        stars = _stars(c0[own], c1[own])
+        for head, near in stars:
+            near = near[near != head] + low
+            yield _met(_STAR, node[near], np.full(near.size, node[low + head]))
+        if stars:
+            yield _met(_ROW_OF, node[own], np.full(node[own].size, part << 16 | int(key[low])), c0[own], c1[own])
+        else:
+            for x, y in _all_pairs(c0[own], c1[own]):
+                if x.size:
+                    yield _ordered(node[own][x], node[own][y])
+
+
+def _met_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part; a part may go on in the next batch."""
+    part, blobs = None, []
+    for batch in batches_of(source):
+        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if at != part and blobs:
+                yield from part_pairs(part, np.frombuffer(b"".join(blobs), _ROW))
+                blobs = []
+            part = at
+            blobs.append(blob)
+    if blobs:
+        yield from part_pairs(part, np.frombuffer(b"".join(blobs), _ROW))
+
+
+def _apart_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of dense buckets, sorted by bucket: the pairs of different labels whose chains are in budget."""
+
+    def buckets() -> Iterator[list[np.ndarray]]:
+        rest: list[np.ndarray] = []
+        for batch in batches_of(source):
+            now = [batch.column(k).to_numpy() for k in range(5)]
+            rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
+            cuts = np.flatnonzero(np.diff(rest[0])) + 1
+            for low, high in zip([0, *cuts.tolist()], cuts.tolist()):
+                yield [x[low:high] for x in rest]
+            rest = [x[cuts[-1] :] for x in rest] if cuts.size else rest
+        if rest:
+            yield rest
+
+    for _, node, label, c0, c1 in buckets():
+        labels, of = np.unique(label, return_inverse=True)
+        main = np.bincount(of).argmax()
+        a, b = c0.view(np.uint64), c1.view(np.uint64)
+        for i in np.flatnonzero(of != main).tolist() if labels.size > 1 else []:
+            j = _near(a, b, i)
+            j = j[(of[j] == main) | ((of[j] != of[i]) & (j > i))]
+            if j.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+
+def _within_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches_of(source):
+        differ = np.bitwise_count(_prints(batch.column(2)) ^ _prints(batch.column(3))).sum(axis=1, dtype=np.int32)
+        yield batch.select(["a", "b"]).filter(pa.array(differ <= LIMIT))
 
 
-def _alike() -> Column:
-    """Whether members `a` and `b` are of different components and have fingerprints within the limit."""
-    first, second = ([F.col(f"{x}.fp0"), F.col(f"{x}.fp1")] for x in "ab")
-    return (F.col("a.label") != F.col("b.label")) & within(first, second)
+def _able(sets: DataFrame, least: float) -> DataFrame:
+    """(node, size, known) of what can reach `least` with any other. known: its shingles that another set has as well."""
+    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sized = sets.select("node", F.size("hashes").alias("size")).join(alone, "node", "left").withColumn("known", F.col("size") - F.coalesce("alone", F.lit(0)))
+    return cut(sized.where(F.col("known") >= least * F.col("size") - 1e-9).select("node", "size", "known"))
 
 
-def _star_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """One pair (a, b) for each node: with that head of its buckets whose fingerprint is nearest.
+def _possible(pairs: DataFrame, able: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that share enough shingles if they share all that any other set has."""
+    left, right = (able.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("known").alias(f"{x}_known")) for x in "ab")
+    needed = F.ceil(least / (1 + least) * (F.col("a_size") + F.col("b_size")) - 1e-9)
+    return pairs.join(left, "a").join(right, "b").where(F.least("a_known", "b_known") >= needed).select(pairs.columns)
 
-    The head of a bucket is the member with the smallest share of shingles that no other has: of copies of one text, that
-    text. Pairs that share too few shingles with any other to reach `least` are left out.
-    """
-    alone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    known = members.join(alone, "node", "left").select("key", F.struct("node", "label", "size", "fp0", "fp1", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("known")).alias("a"))
-    own = (F.col("a.size") - F.col("a.known")) / F.col("a.size")
-    heads = known.groupBy(F.col("key").alias("b_key")).agg(F.min_by("a", F.struct(own, F.xxhash64("a.node"))).alias("b"))
-    met = known.join(heads, (F.col("key") == F.col("b_key")) & (F.least("a.known", "b.known") >= _needed(least)) & _alike())
-    nearest = F.min(F.struct(apart([F.col("a.fp0"), F.col("a.fp1")], [F.col("b.fp0"), F.col("b.fp1")]).alias("apart"), F.col("b.node").alias("b")))
-    return met.groupBy(F.col("a.node").alias("a")).agg(nearest.alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) within LIMIT bits whose shingle sets, counted exactly, reach `least`."""
+    left, right = (nodes.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp")) for x in "ab")
+    prints = pairs.join(left, "a").join(right, "b").select("a", "b", "a_fp", "b_fp")
+    close = cut(prints.mapInArrow(_within_batches, "a long, b long"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
+    both = close.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    return cut(both.where(F.col("common") >= least * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b"))
 
-def _rare_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b) of members of different components that can reach `least`.
 
-    With shingles ranked by how few members have them, two sets that share enough share one of their first
-    size - needed + 1, so only those are joined; a text of many copies has its rare shingles first, and they meet few.
-    """
-    nodes = members.select("node", "label", "size", "fp0", "fp1").distinct()
-    words = cut(sets.join(nodes.select("node"), "node").select("node", F.explode("hashes").alias("h")))
-    ranked = words.join(words.groupBy("h").agg(F.count("*").alias("n")), "h").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "h")))
-    first = ranked.where("n > 1").join(nodes, "node").where(F.col("rank") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1)
-    first = cut(first.select("h", F.struct("node", "label", "size", "fp0", "fp1", "rank").alias("a")))
-    mixed = first.groupBy("h").agg(F.min("a.label").alias("low"), F.max("a.label").alias("high")).where("low < high").select("h")
-    some = cut(first.join(mixed, "h"))
-    other = some.select(F.col("h").alias("b_h"), F.col("a").alias("b"))
-    ranks = [F.col(f"{x}.rank") <= F.col(f"{x}.size") - _needed(least) + 1 for x in "ab"]
-    met = some.join(other, (F.col("h") == F.col("b_h")) & (F.col("a.node") < F.col("b.node")) & ranks[0] & ranks[1] & _alike())
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-
-
-def links(nodes: DataFrame, sets_of, least: float = LEAST) -> DataFrame:
-    """(node, label) of every node that has a link. nodes: distinct (node, size, keys, fp0, fp1); sets_of(nodes): hashes.
-
-    A pair in one component needs no comparison. So a first round over FIRST_BANDS keys compares each node with one head
-    of its buckets, which joins most of a large group; then all pairs of different components that the members of the
-    buckets of all keys can form are found by their rare shingles and compared.
+def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
+    """(node, label) of every node that has a link. nodes: distinct (node, fp); sets_of(nodes): hashes.
+
+    Nodes are dealt by segment, packed, and meet in buckets of equal segments. A bucket with many pairs would give too
+    many of them, so at first each row is compared with the head that it shares most segments with; a pair in one
+    component needs no comparison, and then all pairs of different components are taken from such buckets.
     """
-    edges, label = None, None
-    for bands, pairs_of in ((FIRST_BANDS, _star_pairs), (BANDS, _rare_pairs)):
-        kept = nodes.select("node", "size", "fp0", "fp1", F.slice("keys", 1, bands).alias("keys"))
-        at = kept.withColumn("label", F.col("node")) if label is None else kept.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = cut(at.select("label", F.explode("keys").alias("key")).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"))
-        members = cut(at.select("node", "label", "size", "fp0", "fp1", F.explode("keys").alias("key")).join(_small(mixed), "key"))
-        sets = sets_of(members.select("node").distinct())
-        found = _verified(cut(pairs_of(members, sets, least)), sets, least)
-        if not found.isEmpty():
-            edges = found if edges is None else edges.unionByName(found)
-            label = cut(components(edges))
-    return label if label is not None else nodes.select("node", F.col("node").alias("label")).where("false")
+    small_batches(nodes.sparkSession)
+    split = min((nodes.count() // PART_ROWS).bit_length(), WIDTH)
+    dealt = nodes.select("node", "fp").mapInArrow(_dealt(split), "part int, rows binary").repartition("part").sortWithinPartitions("part")
+    met = cut(dealt.mapInArrow(_met_batches, _MET))
+    alone, star, rows = (met.where(F.col("kind") == kind) for kind in (_PAIR, _STAR, _ROW_OF))
+    paired = met.where(F.col("kind") != _ROW_OF)
+    sets = sets_of(paired.select("a").union(paired.select("b")).union(rows.select("a")).toDF("node").distinct())
+    able = _able(sets, least)
+    shared = _possible(star.groupBy("a", "b").agg(F.count("*").alias("n")), able, least)
+    heads = shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("b"))
+    first = _possible(alone.select("a", "b").distinct(), able, least).unionByName(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    edges = _confirmed(cut(first.distinct()), nodes, sets, least)
+    label = cut(components(edges))
+    named = rows.select(F.col("b").alias("bucket"), F.col("a").alias("node"), "c0", "c1").join(able.select("node"), "node").join(label, "node", "left")
+    dealt = named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "c0", "c1").repartition("bucket").sortWithinPartitions("bucket")
+    apart = cut(_possible(dealt.mapInArrow(_apart_batches, "a long, b long").distinct(), able, least))
+    if apart.isEmpty():
+        return label
+    more = _confirmed(apart, nodes, sets, least)
+    return label if more.isEmpty() else cut(components(edges.unionByName(more)))
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
@@ -216,8 +382,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     texts = _row_keys(docs.where("doc_id is not null"))
-    of_row = cut(texts.mapInArrow(_key_batches, "id long, text_hash long, node long, size int, keys array<long>, fp0 long, fp1 long"))
-    firsts = [F.first(c).alias(c) for c in ("size", "keys", "fp0", "fp1")]
+    of_row = cut(texts.mapInArrow(_key_batches, "id long, text_hash long, node long, size int, fp binary"))
+    firsts = [F.first(c).alias(c) for c in ("size", "fp")]
     nodes = cut(of_row.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("head"), *firsts))
 
     def sets_of(wanted: DataFrame) -> DataFrame:

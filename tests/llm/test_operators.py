@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF, rows_of
@@ -556,6 +557,38 @@ def test_one_of_each_finds_all_jaccard_pairs(spark, none):
     assert shingles.one_of_each(none).count() == 0
 
 
+def test_likely_pairs_share_segments_with_chains_in_budget():
+    r = np.random.default_rng(3)
+    some = lambda n: r.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + r.integers(2, size=n, dtype=np.uint64)
+    rows, prints = [], []
+    for common, a, b in [(8, 1, 1), (80, 10, 10), (400, 50, 50)] * 30:  # a coefficient of 0.8
+        both = some(common)
+        prints += [shingles.wide_fingerprint(np.unique(np.concatenate([both, some(n)]))) for n in (a, b)]
+    nodes = np.arange(len(prints), dtype=np.int64)
+    source = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([p.tobytes() for p in prints])], ["node", "fp"])
+    for split in (0, 3):
+        parts = {}
+        for batch in shingles._dealt(split)(iter([source])):
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                parts.setdefault(part, []).append(blob)
+        for part, blobs in parts.items():
+            rows += [x for b in shingles.part_pairs(part, np.frombuffer(b"".join(blobs), shingles._ROW)) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        assert {(i, i + 1) for i in range(0, len(prints), 2)} <= set(rows)
+        assert len(set(rows)) < len(prints)  # unlike texts seldom meet
+        rows = []
+
+
+def test_dense_bucket_gives_stars_and_rows():
+    rows = np.zeros(300, shingles._ROW)
+    rows["node"] = np.arange(300)
+    rows["c0"][1:] = np.uint64(1) << (np.arange(299, dtype=np.uint64) % np.uint64(56))  # all near to the first
+    for n in (20, 300):
+        found = [tuple(x.to_pylist() for x in b.columns[:3]) for b in shingles.part_pairs(5, rows[:n])]
+        stars = [pair for kind, a, b in found for pair in zip(a, b) if kind[0] == shingles._STAR]
+        assert len(stars) == n - 1 and {a for a, _ in stars} | {b for _, b in stars} == set(range(n))
+        assert [len(a) for kind, a, _ in found if kind[0] == shingles._ROW_OF] == [n]
+
+
 def test_one_of_each_with_repeated_ids(spark):
     rows = [(1, "alpha beta gamma delta omega"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "alpha beta gamma delta omega"), (3, "quite another text of words")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
