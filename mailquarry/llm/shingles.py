@@ -21,8 +21,8 @@ from mailquarry.llm.common import batches_of, cut, small_batches, utf8
 from mailquarry.llm.components import components
 
 WORDS, LEAST, SEED = 5, 0.8, 42
-#: A pair at LEAST has no equal segment with chains in budget with a chance of about 1 in 10^7, in sets of about five
-#: shingles 6 in 10^5.
+#: Of 400 simulated pairs at LEAST of each of five sizes none had no equal segment with chains in budget; they had 9 on
+#: average in sets of 4 and 5 shingles, 15 to 24 in larger ones.
 SEGMENTS, WIDTH = 187, 14
 #: Bits in which two fingerprints may differ (22 %), and segments of a chain after the equal one that are looked at.
 LIMIT, CHAIN = 576, 8
