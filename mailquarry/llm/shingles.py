@@ -30,6 +30,8 @@ LIMIT, CHAIN = 576, 8
 RUN, DENSE = 64, 10
 #: Nodes that are dealt at a time, and about the rows of one part of a segment.
 DEALT, PART_ROWS = 8192, 65_536
+#: Hashes of the sets in one block of a home.
+HOME_HASHES = 2_000_000
 #: Rows of a key table (two numbers) that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Pigeonring: chains of c segments, the equal one included, may differ in floor(c * LIMIT / SEGMENTS) bits.
@@ -279,30 +281,99 @@ def _met_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from part_pairs(part, np.frombuffer(b"".join(blobs), _ROW))
 
 
-def _apart_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of dense buckets, sorted by bucket: the pairs of different labels whose chains are in budget."""
+def _runs(source: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
+    """The columns of the rows that agree in the first `keys` columns; rows come sorted by them, and may go on in the next batch."""
 
-    def buckets() -> Iterator[list[np.ndarray]]:
-        rest: list[np.ndarray] = []
-        for batch in batches_of(source):
-            now = [batch.column(k).to_numpy() for k in range(5)]
-            rest = [np.concatenate(x) for x in zip(rest, now)] if rest else now
-            cuts = np.flatnonzero(np.diff(rest[0])) + 1
-            for low, high in zip([0, *cuts.tolist()], cuts.tolist()):
-                yield [x[low:high] for x in rest]
-            rest = [x[cuts[-1] :] for x in rest] if cuts.size else rest
-        if rest:
-            yield rest
-
-    for _, node, label, c0, c1 in buckets():
+    def whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+        return [pa.concat_arrays([x.column(k) for x in parts]) for k in range(parts[0].num_columns)]
+
+    rest, last = [], None
+    for batch in batches_of(source):
+        key = np.stack([batch.column(k).to_numpy() for k in range(keys)])
+        if rest and (key[:, 0] != last).any():
+            yield whole(rest)
+            rest = []
+        starts = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist()]
+        for low, high in zip(starts, starts[1:]):
+            yield whole([*rest, batch.slice(low, high - low)])
+            rest = []
+        rest.append(batch.slice(starts[-1]))
+        last = key[:, -1]
+    if rest:
+        yield whole(rest)
+
+
+def _visit_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of dense buckets, sorted by bucket: (home, node) of the homes where rows are to be compared.
+
+    For two rows of different labels whose chains are in budget it is the home of more rows, to which the other row comes; so
+    a bucket gives rows and homes, and no pairs.
+    """
+    for run in _runs(source, 1):
+        node, label, home, weight, c0, c1 = (c.to_numpy() for c in run[1:])
         labels, of = np.unique(label, return_inverse=True)
+        if labels.size == 1:
+            continue
         main = np.bincount(of).argmax()
-        a, b = c0.view(np.uint64), c1.view(np.uint64)
-        for i in np.flatnonzero(of != main).tolist() if labels.size > 1 else []:
+        a, b, found = c0.view(np.uint64), c1.view(np.uint64), np.empty((0, 2), np.int64)
+        held, n = [found], 0
+        for i in np.flatnonzero(of != main).tolist():
             j = _near(a, b, i)
             j = j[(of[j] == main) | ((of[j] != of[i]) & (j > i))]
-            if j.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+            comes = (home[j] == home[i]) | (weight[j] > weight[i]) | ((weight[j] == weight[i]) & (home[j] < home[i]))
+            to, away = np.unique(home[j[comes]]), j[~comes]
+            held += [np.stack([to, np.full(to.size, node[i])], axis=1), np.stack([np.full(away.size, home[i]), node[away]], axis=1)]
+            n += to.size + away.size
+            if n > 1 << 18:
+                held, n = [np.unique(np.concatenate(held), axis=0)], 0
+        found = np.unique(np.concatenate(held), axis=0)
+        if found.size:
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(2)], ["home", "node"])
+
+
+def joined(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
+    """Links that join the labels joined at `least`: a spanning forest, not all pairs. Sets are counted exactly.
+
+    If there are rows of two sides, those of one are compared with those of the other. Hashes of many rows are counted as bits of
+    a matrix that is no larger than the sets; other hashes by lists of their rows.
+    """
+    size = np.array([len(x) for x in sets])
+    of_row = np.repeat(np.arange(size.size), size)
+    _, token, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = n * 64 >= max(size.size, 128)
+    bit = np.cumsum(often) - 1
+    bits = np.zeros((size.size, int(often.sum()) // 64 + 1), np.uint64)
+    t, r = bit[token[often[token]]], of_row[often[token]]
+    np.bitwise_or.at(bits, (r, t >> 6), np.uint64(1) << (t & 63).astype(np.uint64))
+    order = np.argsort(token, kind="stable")
+    rows, ends = of_row[order], np.cumsum(n)
+    rare = [x[(n[x] > 1) & ~often[x]] for x in np.split(token, np.cumsum(size)[:-1])]
+    _, now = np.unique(label, return_inverse=True)
+    two = side.min() != side.max()
+    for i in np.flatnonzero(now != np.bincount(now).argmax()).tolist():
+        j = np.flatnonzero((now != now[i]) & ((side != side[i]) | (not two)) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9))
+        if not j.size:
+            continue
+        common = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
+        if rare[i].size:
+            common += np.bincount(np.concatenate([rows[ends[x] - n[x] : ends[x]] for x in rare[i]]), minlength=size.size)[j]
+        j = j[common >= least * (size[j] + size[i] - common) - 1e-9]
+        for other in np.unique(now[j], return_index=True)[1].tolist():
+            yield i, int(j[other])
+        if j.size:
+            now[np.isin(now, now[j])] = now[i]
+
+
+def _joined_batches(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, node, label, side, hashes in _runs(source, 3):
+            node, ends = node.to_numpy(), np.cumsum(hashes.value_lengths().to_numpy())
+            found = list(joined(label.to_numpy(), side.to_numpy(), np.split(hashes.flatten().to_numpy(), ends[:-1]), least))
+            if found:
+                x = node[np.array(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.min(axis=1)), pa.array(x.max(axis=1))], ["a", "b"])
+
+    return run
 
 
 def _within_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,12 +406,48 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float
     return cut(both.where(F.col("common") >= least * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b"))
 
 
+def _homes(met: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, home, weight) of the rows with a head: the head that most rows chose, of those that met their own head.
+
+    met: (a, b, n), rows and all their heads; heads: (a, b), one of them. Homes are far fewer than heads, as each bucket has
+    heads of its own. weight: the rows of that home.
+    """
+    chosen = cut(heads.groupBy("b").agg(F.count("*").alias("n")))
+    of_heads = met.select(F.col("a").alias("head"), "b").join(chosen.select(F.col("b").alias("head")), "head", "left_semi")
+    known = of_heads.unionByName(chosen.select(F.col("b").alias("head"), "b")).join(chosen, "b")
+    home = known.groupBy("head").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("home"))
+    named = cut(heads.select(F.col("a").alias("node"), F.col("b").alias("head")).join(home, "head").select("node", "home"))
+    return named.join(named.groupBy("home").agg(F.count("*").alias("weight")), "home")
+
+
+def _at_home(rows: DataFrame, able: DataFrame, homes: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join what the first links left apart in dense buckets. rows: (bucket, node, c0, c1).
+
+    Rows that met with different labels come to one home, and there all rows of it are compared by their exact sets, in
+    blocks of about HOME_HASHES, each with each. What leaves a home is a spanning forest.
+    """
+    own = F.col("node")
+    at = able.select("node", "size").join(label, "node", "left").join(homes, "node", "left")
+    at = cut(at.select("node", "size", F.coalesce("label", own).alias("label"), F.coalesce("home", own).alias("home"), F.coalesce("weight", F.lit(0)).alias("weight")))
+    named = rows.join(at, "node").select("bucket", "node", "label", "home", "weight", "c0", "c1")
+    visits = cut(named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_visit_batches, "home long, node long").distinct())
+    guests = visits.unionByName(at.join(visits.select("home").distinct(), "home", "left_semi").select("home", "node")).distinct()
+    guests = cut(guests.join(at.select("node", "size", "label"), "node"))
+    blocks = guests.groupBy("home").agg(F.ceil(F.sum("size") / HOME_HASHES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = guests.join(blocks, "home").withColumn("side", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("home", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "label", "side")
+    full = dealt.join(sets, "node").select("home", "low", "high", "node", "label", "side", "hashes")
+    return full.repartition("home", "low", "high").sortWithinPartitions("home", "low", "high").mapInArrow(_joined_batches(least), "a long, b long")
+
+
 def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float = LEAST) -> DataFrame:
     """(node, label) of every node that has a link. nodes: distinct (node, fp); sets_of(nodes): hashes.
 
     Nodes are dealt by segment, packed, and meet in buckets of equal segments. A bucket with many pairs would give too
     many of them, so at first each row is compared with the head that it shares most segments with; a pair in one
-    component needs no comparison, and then all pairs of different components are taken from such buckets.
+    component needs no comparison, and rows of different components that met in such buckets are compared at their home,
+    by exact sets, which gives no pairs but links.
     """
     small_batches(nodes.sparkSession)
     split = min((nodes.count() // PART_ROWS).bit_length(), WIDTH)
@@ -350,17 +457,13 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: fl
     paired = met.where(F.col("kind") != _ROW_OF)
     sets = sets_of(paired.select("a").union(paired.select("b")).union(rows.select("a")).toDF("node").distinct())
     able = _able(sets, least)
-    shared = _possible(star.groupBy("a", "b").agg(F.count("*").alias("n")), able, least)
-    heads = shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("b"))
-    first = _possible(alone.select("a", "b").distinct(), able, least).unionByName(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    edges = _confirmed(cut(first.distinct()), nodes, sets, least)
+    shared = cut(star.groupBy("a", "b").agg(F.count("*").alias("n")))
+    heads = cut(shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("b")))
+    proposed = alone.select("a", "b").unionByName(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    edges = _confirmed(cut(_possible(proposed, able, least)), nodes, sets, least)
     label = cut(components(edges))
-    named = rows.select(F.col("b").alias("bucket"), F.col("a").alias("node"), "c0", "c1").join(able.select("node"), "node").join(label, "node", "left")
-    dealt = named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "c0", "c1").repartition("bucket").sortWithinPartitions("bucket")
-    apart = cut(_possible(dealt.mapInArrow(_apart_batches, "a long, b long").distinct(), able, least))
-    if apart.isEmpty():
-        return label
-    more = _confirmed(apart, nodes, sets, least)
+    named = rows.select(F.col("b").alias("bucket"), F.col("a").alias("node"), "c0", "c1")
+    more = cut(_at_home(named, able, _homes(shared, heads), label, sets, least))
     return label if more.isEmpty() else cut(components(edges.unionByName(more)))
 
 

@@ -589,6 +589,47 @@ def test_dense_bucket_gives_stars_and_rows():
         assert [len(a) for kind, a, _ in found if kind[0] == shingles._ROW_OF] == [n]
 
 
+def family(blocks, each):
+    """Texts that replace one of the blocks of a text that is not there: linked if it is the same block, and near if it is not."""
+    base = [f"w{i}" for i in range(5 * blocks)]
+    return [" ".join([*base[: 5 * k], *(f"v{k}-{n}-{x}" for x in range(5)), *base[5 * k + 5 :]]) for k in range(1, blocks - 1) for n in range(each)]
+
+
+@pytest.mark.parametrize("hashes", [shingles.HOME_HASHES, 5000])
+def test_near_texts_without_link_give_no_pairs(spark, monkeypatch, hashes):
+    monkeypatch.setattr(shingles, "HOME_HASHES", hashes, raising=False)
+    pairs, confirmed = [], shingles._confirmed
+    monkeypatch.setattr(shingles, "_confirmed", lambda x, *rest: pairs.append(x.count()) or confirmed(x, *rest))
+    texts = family(24, 15)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in shingles.one_of_each(frame).collect()} == set(range(0, len(texts), 15))
+    assert sum(pairs) < len(texts) ** 2 / 6
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_joined_is_a_spanning_forest_of_all_links(two):
+    r = np.random.default_rng(4)
+    pool = [r.integers(1 << 62, size=n) for n in (5, 40, 40, 300)]
+    sets = []
+    for k in range(240):
+        own = pool[k % 4]
+        lost = r.choice(own.size, size=int(own.size * r.choice([0, 0.05, 0.1, 0.15, 0.3])), replace=False)
+        sets.append(np.unique(np.concatenate([np.delete(own, lost), r.integers(50, size=own.size // 12) + 1000 * (k % 4)])))
+    label, side = np.arange(240), np.arange(240) // 120 * two
+    label[np.arange(0, 240, 4)[:9]] = 0
+    links = list(shingles.joined(label.copy(), side, sets, 0.8))
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9 for i, j in links)
+
+    def classes(pairs):
+        of = label.copy()
+        for i, j in pairs:
+            of[of == of[j]] = of[i]
+        return [np.flatnonzero(of == of[i])[0] for i in range(240)]
+
+    every = [(i, j) for i, j in itertools.combinations(range(240), 2) if (not two or side[i] != side[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    assert classes(links) == classes(every) and len(links) < 240 < len(every)
+
+
 def test_one_of_each_with_repeated_ids(spark):
     rows = [(1, "alpha beta gamma delta omega"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "alpha beta gamma delta omega"), (3, "quite another text of words")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
