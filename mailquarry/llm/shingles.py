@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ LIMIT, CHAIN = 576, 8
 RUN, DENSE = 64, 10
 #: Nodes that are dealt at a time, and about the rows of one part of a segment.
 DEALT, PART_ROWS = 8192, 65_536
+#: What buckets give is packed by bins of nodes: about the nodes of one bin, the least number of bins, bytes packed at a time.
+BIN_NODES, LEAST_BINS, PACKED_BYTES = 16_384, 32, 8 << 20
+#: Edges that one task contracts to components, which takes one job and not several for each round.
+ONE_TASK = 1_000_000
 #: Hashes of the sets in one block of a home.
 HOME_HASHES = 2_000_000
 #: Rows of a key table (two numbers) that may be broadcast; more are joined by a shuffle.
@@ -267,18 +272,161 @@ def part_pairs(part: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
                     yield _ordered(node[own][x], node[own][y])
 
 
-def _met_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part; a part may go on in the next batch."""
-    part, blobs = None, []
+#: Packed rows of both ends of a pair or star, of rows of dense buckets, of what is known of a node, and of both together.
+_LINK = np.dtype([("a", "<i8"), ("b", "<i8")])
+_SEEN = np.dtype([("a", "<i8"), ("bucket", "<i8"), ("c0", "<i8"), ("c1", "<i8")])
+_AT = np.dtype([(c, "<i8") for c in ("node", "label", "home", "weight")])
+_NAMED = np.dtype([(c, "<i8") for c in ("bucket", "node", "label", "home", "weight", "c0", "c1")])
+#: A kind of packed rows that sorts before the others: what is known of the nodes of a bin.
+_KNOWN = -1
+_PACKED = "bin int, kind int, rows binary"
+
+
+def _bin_of(node: np.ndarray, bins: int) -> np.ndarray:
+    return (_mixed(node.view(np.uint64)) % np.uint64(bins)).astype(np.int64)
+
+
+def _packed(at: np.ndarray, rows: np.ndarray, kind: int) -> pa.RecordBatch:
+    """The rows of each number in `at`, as bytes."""
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    blobs = [rows[low:high].tobytes() for low, high in zip(starts.tolist(), [*starts[1:].tolist(), at.size])]
+    return pa.RecordBatch.from_arrays([pa.array(at[starts], pa.int32()), pa.array(np.full(starts.size, kind, np.int32)), pa.array(blobs, pa.binary())], ["bin", "kind", "rows"])
+
+
+def _blobs(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches_of(source):
-        for at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if at != part and blobs:
-                yield from part_pairs(part, np.frombuffer(b"".join(blobs), _ROW))
-                blobs = []
-            part = at
-            blobs.append(blob)
-    if blobs:
-        yield from part_pairs(part, np.frombuffer(b"".join(blobs), _ROW))
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _blob_runs(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
+    """The bytes of the rows that agree in the columns before them, joined; rows come sorted by those, over many batches."""
+    for key, run in groupby(_blobs(source), key=lambda row: row[:-1]):
+        yield key, b"".join(row[-1] for row in run)
+
+
+def _met_batches(bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the buckets of each part give, packed by kind and by the bin of a: so many rows for a part at most, whatever its buckets hold."""
+
+    def packed(met: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, *columns = (np.concatenate([b.column(k).to_numpy() for b in met]) for k in range(5))
+        for kind, row in ((_PAIR, _LINK), (_STAR, _LINK), (_ROW_OF, _SEEN)):
+            own = kinds == kind
+            rows = np.empty(int(own.sum()), row)
+            for name, column in zip(row.names, columns):
+                rows[name] = column[own]
+            yield _packed(_bin_of(rows["a"].copy(), bins), rows, kind)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part,), blob in _blob_runs(source):
+            met, held = [], 0
+            for batch in part_pairs(part, np.frombuffer(blob, _ROW)):
+                met.append(batch)
+                held += batch.nbytes
+                if held > PACKED_BYTES:
+                    yield from packed(met)
+                    met, held = [], 0
+            if met:
+                yield from packed(met)
+
+    return run
+
+
+def _counted(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (a, b), sorted, and how often each occurs."""
+    order = np.lexsort((links["b"], links["a"]))
+    a, b = links["a"][order], links["b"][order]
+    new = np.ones(a.size, bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return a[starts], b[starts], np.diff(starts, append=a.size)
+
+
+def _first_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, a, b), each once: the pairs of a bin; of its rows near heads the head that each met most often; its rows of dense buckets.
+
+    Packed rows come sorted by bin and kind, and all of a node are in one bin.
+    """
+    for (_, kind), blob in _blob_runs(source):
+        if kind == _ROW_OF:
+            a = b = np.unique(np.frombuffer(blob, _SEEN)["a"])
+        else:
+            a, b, n = _counted(np.frombuffer(blob, _LINK))
+            if kind == _STAR:
+                order = np.lexsort((_mixed(b.view(np.uint64)), n, a))
+                last = order[np.append(np.flatnonzero(np.diff(a[order])), a.size - 1)]
+                a, b = a[last], b[last]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+
+def _known_batches(row: np.dtype, bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of numbers packed by the bin of the first, as _KNOWN."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = np.empty(sum(b.num_rows for b in held), row)
+        for k, name in enumerate(row.names):
+            rows[name] = np.concatenate([b.column(k).to_numpy() for b in held])
+        return _packed(_bin_of(rows[row.names[0]].copy(), bins), rows, _KNOWN)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches_of(source):
+            held.append(batch)
+            n += batch.num_rows
+            if n * row.itemsize > PACKED_BYTES:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _shared_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, b, n): the heads b that a row met, and how often, of the rows that are known to be heads themselves."""
+    at, heads = None, None
+    for (own, kind), blob in _blob_runs(source):
+        links = np.frombuffer(blob, _LINK)
+        if kind == _KNOWN:
+            at, heads = own, links["a"]
+        elif own == at:
+            columns = _counted(links[np.isin(links["a"], heads)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["head", "b", "n"])
+
+
+def _named_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of dense buckets whose nodes are known, with what is known, packed by part (the bucket's upper bits)."""
+    at, blobs, known, held, n = None, [], None, [], 0
+
+    def packed() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        return _packed(rows["bucket"] >> 16, rows, _ROW_OF)
+
+    for own, kind, blob in _blobs(source):
+        if kind == _KNOWN:
+            at, blobs, known = own, [*(blobs if own == at else []), blob], None
+        elif own == at:
+            if known is None:
+                known = np.frombuffer(b"".join(blobs), _AT)
+                known = known[np.argsort(known["node"])]
+            seen = np.frombuffer(blob, _SEEN)
+            place = np.minimum(np.searchsorted(known["node"], seen["a"]), known.size - 1)
+            ok = known["node"][place] == seen["a"]
+            rows = np.empty(int(ok.sum()), _NAMED)
+            for name in _NAMED.names:
+                rows[name] = seen[name][ok] if name in _SEEN.names else known[name][place[ok]]
+            held.append(rows)
+            n += rows.nbytes
+            if n > PACKED_BYTES:
+                yield packed()
+                held, n = [], 0
+    if n:
+        yield packed()
+
+
+def _by_bin(packed: DataFrame) -> DataFrame:
+    return packed.repartition("bin").sortWithinPartitions("bin", "kind")
 
 
 def _runs(source: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
@@ -304,31 +452,46 @@ def _runs(source: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array
 
 
 def _visit_batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of dense buckets, sorted by bucket: (home, node) of the homes where rows are to be compared.
+    """Rows of dense buckets, packed and sorted by part: (home, node) of the homes where rows are to be compared.
 
     For two rows of different labels whose chains are in budget it is the home of more rows, to which the other row comes; so
     a bucket gives rows and homes, and no pairs.
     """
-    for run in _runs(source, 1):
-        node, label, home, weight, c0, c1 = (c.to_numpy() for c in run[1:])
-        labels, of = np.unique(label, return_inverse=True)
-        if labels.size == 1:
-            continue
-        main = np.bincount(of).argmax()
-        a, b, found = c0.view(np.uint64), c1.view(np.uint64), np.empty((0, 2), np.int64)
-        held, n = [found], 0
-        for i in np.flatnonzero(of != main).tolist():
-            j = _near(a, b, i)
-            j = j[(of[j] == main) | ((of[j] != of[i]) & (j > i))]
-            comes = (home[j] == home[i]) | (weight[j] > weight[i]) | ((weight[j] == weight[i]) & (home[j] < home[i]))
-            to, away = np.unique(home[j[comes]]), j[~comes]
-            held += [np.stack([to, np.full(to.size, node[i])], axis=1), np.stack([np.full(away.size, home[i]), node[away]], axis=1)]
-            n += to.size + away.size
-            if n > 1 << 18:
-                held, n = [np.unique(np.concatenate(held), axis=0)], 0
-        found = np.unique(np.concatenate(held), axis=0)
-        if found.size:
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(2)], ["home", "node"])
+    held, n = [], 0
+
+    def distinct() -> np.ndarray:
+        return np.unique(np.concatenate(held), axis=0)
+
+    for _, blob in _blob_runs(source):
+        rows = np.frombuffer(blob, _NAMED)
+        rows = rows[np.argsort(rows["bucket"], kind="stable")]
+        starts = np.flatnonzero(np.diff(rows["bucket"], prepend=-1))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), rows.size]):
+            node, label, home, weight, c0, c1 = (np.ascontiguousarray(rows[c][low:high]) for c in _NAMED.names[1:])
+            labels, of = np.unique(label, return_inverse=True)
+            if labels.size == 1:
+                continue
+            main = np.bincount(of).argmax()
+            a, b = c0.view(np.uint64), c1.view(np.uint64)
+            for i in np.flatnonzero(of != main).tolist():
+                j = _near(a, b, i)
+                j = j[(of[j] == main) | ((of[j] != of[i]) & (j > i))]
+                comes = (home[j] == home[i]) | (weight[j] > weight[i]) | ((weight[j] == weight[i]) & (home[j] < home[i]))
+                to, away = np.unique(home[j[comes]]), j[~comes]
+                held += [np.stack([to, np.full(to.size, node[i])], axis=1), np.stack([np.full(away.size, home[i]), node[away]], axis=1)]
+                n += to.size + away.size
+                if n > 1 << 18:
+                    held = [distinct()]
+                    n = held[0].shape[0]
+                    if n > 1 << 17:
+                        yield _visits(held[0])
+                        held, n = [], 0
+    if n:
+        yield _visits(distinct())
+
+
+def _visits(found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(2)], ["home", "node"])
 
 
 def joined(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], least: float) -> Iterator[tuple[int, int]]:
@@ -406,22 +569,23 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float
     return cut(both.where(F.col("common") >= least * (F.size("a_set") + F.size("b_set") - F.col("common")) - 1e-9).select("a", "b"))
 
 
-def _homes(met: DataFrame, heads: DataFrame) -> DataFrame:
+def _homes(stars: DataFrame, heads: DataFrame, bins: int) -> DataFrame:
     """(node, home, weight) of the rows with a head: the head that most rows chose, of those that met their own head.
 
-    met: (a, b, n), rows and all their heads; heads: (a, b), one of them. Homes are far fewer than heads, as each bucket has
+    stars: rows and all their heads, packed; heads: (a, b), one of them. Homes are far fewer than heads, as each bucket has
     heads of its own. weight: the rows of that home.
     """
     chosen = cut(heads.groupBy("b").agg(F.count("*").alias("n")))
-    of_heads = met.select(F.col("a").alias("head"), "b").join(chosen.select(F.col("b").alias("head")), "head", "left_semi")
+    packed = chosen.select("b", "n").mapInArrow(_known_batches(_LINK, bins), _PACKED)
+    of_heads = _by_bin(packed.unionByName(stars)).mapInArrow(_shared_batches, "head long, b long, n long").select("head", "b")
     known = of_heads.unionByName(chosen.select(F.col("b").alias("head"), "b")).join(chosen, "b")
     home = known.groupBy("head").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("home"))
     named = cut(heads.select(F.col("a").alias("node"), F.col("b").alias("head")).join(home, "head").select("node", "home"))
     return named.join(named.groupBy("home").agg(F.count("*").alias("weight")), "home")
 
 
-def _at_home(rows: DataFrame, able: DataFrame, homes: DataFrame, label: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): links that join what the first links left apart in dense buckets. rows: (bucket, node, c0, c1).
+def _at_home(rows: DataFrame, able: DataFrame, homes: DataFrame, label: DataFrame, sets: DataFrame, least: float, bins: int) -> DataFrame:
+    """(a, b): links that join what the first links left apart in dense buckets. rows: those of dense buckets, packed.
 
     Rows that met with different labels come to one home, and there all rows of it are compared by their exact sets, in
     blocks of about HOME_HASHES, each with each. What leaves a home is a spanning forest.
@@ -429,8 +593,9 @@ def _at_home(rows: DataFrame, able: DataFrame, homes: DataFrame, label: DataFram
     own = F.col("node")
     at = able.select("node", "size").join(label, "node", "left").join(homes, "node", "left")
     at = cut(at.select("node", "size", F.coalesce("label", own).alias("label"), F.coalesce("home", own).alias("home"), F.coalesce("weight", F.lit(0)).alias("weight")))
-    named = rows.join(at, "node").select("bucket", "node", "label", "home", "weight", "c0", "c1")
-    visits = cut(named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_visit_batches, "home long, node long").distinct())
+    named = _by_bin(at.select(*_AT.names).mapInArrow(_known_batches(_AT, bins), _PACKED).unionByName(rows)).mapInArrow(_named_batches, _PACKED)
+    visits = named.select(F.col("bin").alias("part"), "rows").repartition("part").sortWithinPartitions("part")
+    visits = cut(visits.mapInArrow(_visit_batches, "home long, node long").distinct())
     guests = visits.unionByName(at.join(visits.select("home").distinct(), "home", "left_semi").select("home", "node")).distinct()
     guests = cut(guests.join(at.select("node", "size", "label"), "node"))
     blocks = guests.groupBy("home").agg(F.ceil(F.sum("size") / HOME_HASHES).cast("int").alias("blocks"))
@@ -450,21 +615,20 @@ def links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: fl
     by exact sets, which gives no pairs but links.
     """
     small_batches(nodes.sparkSession)
-    split = min((nodes.count() // PART_ROWS).bit_length(), WIDTH)
+    n = nodes.count()
+    split, bins = min((n // PART_ROWS).bit_length(), WIDTH), max(LEAST_BINS, n // BIN_NODES)
     dealt = nodes.select("node", "fp").mapInArrow(_dealt(split), "part int, rows binary").repartition("part").sortWithinPartitions("part")
-    met = cut(dealt.mapInArrow(_met_batches, _MET))
-    alone, star, rows = (met.where(F.col("kind") == kind) for kind in (_PAIR, _STAR, _ROW_OF))
-    paired = met.where(F.col("kind") != _ROW_OF)
-    sets = sets_of(paired.select("a").union(paired.select("b")).union(rows.select("a")).toDF("node").distinct())
+    met = cut(dealt.mapInArrow(_met_batches(bins), _PACKED))
+    first = cut(_by_bin(met).mapInArrow(_first_batches, "kind int, a long, b long"))
+    alone, heads = (first.where(F.col("kind") == kind).select("a", "b") for kind in (_PAIR, _STAR))
+    star, rows = (met.where(F.col("kind") == kind) for kind in (_STAR, _ROW_OF))
+    sets = sets_of(first.select("a").union(first.select("b")).toDF("node").distinct())
     able = _able(sets, least)
-    shared = cut(star.groupBy("a", "b").agg(F.count("*").alias("n")))
-    heads = cut(shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("b")))
-    proposed = alone.select("a", "b").unionByName(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    proposed = alone.unionByName(heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     edges = _confirmed(cut(_possible(proposed, able, least)), nodes, sets, least)
-    label = cut(components(edges))
-    named = rows.select(F.col("b").alias("bucket"), F.col("a").alias("node"), "c0", "c1")
-    more = cut(_at_home(named, able, _homes(shared, heads), label, sets, least))
-    return label if more.isEmpty() else cut(components(edges.unionByName(more)))
+    label = cut(components(edges, one_task=ONE_TASK))
+    more = cut(_at_home(rows, able, _homes(star, heads, bins), label, sets, least, bins))
+    return label if more.isEmpty() else cut(components(label.toDF("a", "b").unionByName(more), one_task=ONE_TASK))
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from conftest import SF, rows_of
@@ -606,6 +607,58 @@ def test_near_texts_without_link_give_no_pairs(spark, monkeypatch, hashes):
     assert sum(pairs) < len(texts) ** 2 / 6
 
 
+def test_dense_buckets_write_few_rows(spark, monkeypatch):
+    counts, cut = [], shingles.cut
+
+    def counted(frame):
+        out = cut(frame)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingles, "cut", counted)
+    texts = family(24, 40)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in shingles.one_of_each(frame).collect()} == set(range(0, len(texts), 40))
+    assert max(counts) < 40 * len(texts)  # a row in each bucket, with a head in each, is ten times that
+
+
+def test_packed_rows_come_back_by_bin():
+    r = np.random.default_rng(6)
+    rows = np.zeros(300, shingles._ROW)
+    rows["node"] = r.integers(1 << 62, size=300)
+    rows["c0"][1:] = np.uint64(1) << (np.arange(299, dtype=np.uint64) % np.uint64(56))
+    met = [pa.concat_tables(map(pa.Table.from_batches, [[b] for b in shingles.part_pairs(part, rows)])) for part in (5, 6)]
+    stars = Counter(pair for x in met for kind, *pair in zip(*(c.to_pylist() for c in x.columns[:3])) if kind == shingles._STAR for pair in [tuple(pair)])
+    source = [pa.RecordBatch.from_pydict({"part": pa.array([p, p], pa.int32()), "rows": [rows[:100].tobytes(), rows[100:].tobytes()]}) for p in (5, 6)]
+    packed = pa.Table.from_batches(shingles._met_batches(4)(iter(source)))
+    assert packed.num_rows <= 2 * 4 * 2
+    by_bin = packed.sort_by([("bin", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=3)
+    first = [x for b in shingles._first_batches(iter(by_bin)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    heads = {a: b for kind, a, b in first if kind == shingles._STAR}
+    assert sorted(a for kind, a, _ in first if kind == shingles._ROW_OF) == sorted(rows["node"].tolist())
+    assert heads.keys() == {a for a, _ in stars} and all(stars[a, b] == max(n for (x, _), n in stars.items() if x == a) for a, b in heads.items())
+    known = pa.RecordBatch.from_pydict({c: rows["node"][:200] for c in shingles._AT.names})
+    both = pa.concat_tables([pa.Table.from_batches(shingles._known_batches(shingles._AT, 4)(iter([known]))), packed.filter(pc.equal(packed["kind"], shingles._ROW_OF))])
+    both = both.sort_by([("bin", "ascending"), ("kind", "ascending")]).to_batches(max_chunksize=3)
+    named = [x for b in shingles._named_batches(iter(both)) for part, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()) for x in np.frombuffer(blob, shingles._NAMED).tolist() if x[0] >> 16 == part]
+    assert sorted((x[0] >> 16, *x[1:5]) for x in named) == sorted((part, *[n] * 4) for part in (5, 6) for n in rows["node"][:200].tolist())
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components_in_one_task_or_many(spark, one_task):
+    r = random.Random(9)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    for _ in range(70):
+        for a, b in edges:
+            if a in label and b in label and a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    found = components(frame, one_task=one_task).collect()
+    assert sorted(map(tuple, found)) == sorted(label.items())
+    assert components(frame.where("false"), one_task=one_task).count() == 0
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_joined_is_a_spanning_forest_of_all_links(two):
     r = np.random.default_rng(4)
